@@ -5,23 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(F.split("text", r"\s+")).alias("w"))
-    return words.filter("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+from millrace.queries import aggregates, basic, formats, sql_queries, streams
 
-
-OWN = {"word_count": word_count}
-OWN_SQL = {"word_count": r"SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text,'\s+')) AS w FROM documents) WHERE w<>'' GROUP BY w"}
+Query = Callable[[SparkSession, str], DataFrame]
+FAMILIES = (basic, aggregates, sql_queries, formats, streams)
 
 
 def queries() -> dict[str, Query]:
-    return dict(OWN)
+    return {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(OWN_SQL)
+    return {name: text for family in FAMILIES for name, text in family.SQL.items()}
