@@ -53,8 +53,8 @@ def run(
     any other columns; ``messages`` are (dst, msg). ``update(step)`` gives new columns for the
     vertices that are active or have a message (others stay as they are); ``send`` is the message
     over vertex and edge columns, sent where ``sends`` holds. The program ends when no message is
-    left and no vertex is active (``until_inactive``: once no vertex is active, whatever mail is left).
-    Messages to unknown vertices are dropped.
+    left and no vertex is active (``until_inactive``: all vertices send in
+    every step, until none is active). Messages to unknown vertices are dropped.
     """
     ensure_checkpoint_dir(vertices)
     combine = COMBINERS[combiner] if isinstance(combiner, str) else combiner
@@ -68,7 +68,7 @@ def run(
         stepped = joined.withColumns({f"__n_{n}": F.when(awake, c).otherwise(F.col(n)) for n, c in new.items()})
         kept = [F.col(f"__n_{c}").alias(c) if c in new else F.col(c) for c in now.columns]
         now = stepped.select(*kept, awake.alias("__awake")).checkpoint()
-        out = now.filter(F.col("__awake") & (sends if sends is not None else F.lit(True)))
+        out = now.filter((F.col("__awake") | F.lit(until_inactive)) & (sends if sends is not None else F.lit(True)))
         mail = out.join(edges, out["id"] == edges["src"]).select(F.col("dst"), send.alias("msg")).filter("msg IS NOT NULL").checkpoint()
         left = now.agg(F.count_if("active")).first()[0]
         now = now.drop("__awake")

@@ -22,7 +22,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from millrace.sources.files import expand
@@ -566,17 +565,15 @@ def only_latest(log: DataFrame) -> DataFrame:
 
 
 def register_all(spark: SparkSession) -> None:
-    """Make the formats known to a session."""
+    """Make the formats known to a session, and let them apply filters themselves."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (FixedBinary, TFRecord, ByteRangeText, KVLog):
         spark.dataSource.register(source)
 
 
-def write_limited(df: DataFrame, fmt: str, path: str, overwrite: bool = True, **options) -> None:
+def write_limited(df: DataFrame, source: str, path: str, overwrite: bool = True, **options) -> None:
     """Write with one of these formats, in at most 256 partitions."""
     register_all(df.sparkSession)
     n = df.rdd.getNumPartitions()
     frame = df.coalesce(256) if n > 256 else df
-    frame.write.format(fmt).mode("overwrite" if overwrite else "append").options(**options).save(path)
-
-
-SCHEMA_TYPES = (T.StringType, T.BinaryType)
+    frame.write.format(source).mode("overwrite" if overwrite else "append").options(**options).save(path)
