@@ -70,11 +70,13 @@ def arrow_map(
     schema: str | T.StructType,
     setup: Callable[[], Callable[..., Sequence[Sequence]]],
     slice_rows: int = SLICE_ROWS,
+    arrow_in: bool = False,
 ) -> DataFrame:
     """Apply a Python kernel to Arrow batches.
 
     ``setup()`` runs once a task and returns the kernel; the kernel gets one Python list for each
-    of ``columns`` and returns one sequence for each field of ``schema`` (any common length).
+    of ``columns`` and returns one sequence for each field of ``schema`` (any common length). With
+    ``arrow_in`` it gets Arrow arrays of whole batches and does its own slicing.
     """
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
@@ -82,9 +84,9 @@ def arrow_map(
     def run(batches):
         kernel = setup()
         for batch in batches:
-            for start in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(start, slice_rows)
-                out = kernel(*(part.column(i).to_pylist() for i in range(part.num_columns)))
+            for start in range(0, batch.num_rows, batch.num_rows if arrow_in else slice_rows):
+                part = batch.slice(start, batch.num_rows if arrow_in else slice_rows)
+                out = kernel(*(part.column(i) if arrow_in else part.column(i).to_pylist() for i in range(part.num_columns)))
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, arrow)]
                 if len(arrays[0]):
                     yield pa.RecordBatch.from_arrays(arrays, schema=arrow)

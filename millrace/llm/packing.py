@@ -16,13 +16,17 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, attach, read, written
+from millrace.llm.common import arrow_map, read, written
+from millrace.llm.words import Kept, joined, parts_of, slices
 
 CAPACITY = 2048
 
@@ -35,7 +39,7 @@ class WordIds:
     faster; if not, the ``tokenizers`` library itself encodes.
     """
 
-    def __init__(self, path: str, pattern: str, max_words: int = 200_000):
+    def __init__(self, path: str, pattern: str, max_words: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         from tokenizers import Tokenizer
@@ -44,8 +48,6 @@ class WordIds:
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         order = [vocab[a + b] for a, b in merges]
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.words: dict[str, bytes | None] = {"": None}
-        self.max_words = max_words
         if order == sorted(order):
             import tiktoken
 
@@ -56,38 +58,38 @@ class WordIds:
         else:
             tokenizer = Tokenizer.from_file(path)
             self.ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        # A special token with a space in it could span parts.
+        self.apart = not any(" " in s for s in self.specials)
+        self.ends = {c: self.encode(c) for c in ".,"}
+        self.words = Kept(self.word, max_words)
 
     def encode(self, text: str) -> bytes:
         """A whole text; special tokens' strings stand for their ids, as in the library."""
         for content, number in self.specials.items():
             if content in text:
                 return number.to_bytes(4, "little").join(self.encode(part) if part else b"" for part in text.split(content))
-        return np.array(self.ids(text), dtype="<u4").tobytes()
-
-    def word(self, part: str) -> bytes | None:
-        if len(self.words) >= self.max_words:
-            self.words = {"": None}
-        found = self.words[part] = None if part[0].isspace() else self.encode(" " + part)
-        return found
+        return array("I", self.ids(text)).tobytes()
+
+    def word(self, part: str) -> bytes:
+        """A part led by its space. Letters and a final mark are pieces of their own."""
+        end = self.ends.get(part[-1])
+        if end is not None and part[:-1].isalpha():
+            return self.words[part[:-1]] + end
+        return self.encode(" " + part)
+
+    def documents(self, texts: pa.Array) -> Iterator[bytes]:
+        """As ``encode``, for a column; null and empty texts have no ids."""
+        if not self.apart:
+            yield from (self.encode(t) if t else b"" for t in texts.to_pylist())
+            return
+        for start, n in slices(texts):
+            results, number, starts = parts_of(texts.slice(start, n), self.words, self.encode)
+            data, places = joined(results, number, starts)
+            for a, b in zip(places[:-1].tolist(), places[1:].tolist()):
+                yield bytes(data[a:b])
 
     def document(self, text: str | None) -> bytes:
-        """As ``encode``; parts led by a space that something else than white space follows are
-        encoded apart, since a pre-token always starts there."""
-        if not text:
-            return b""
-        parts = text.split(" ")
-        if not parts[0] or len(parts) == 1 or any(" " in s and s in text for s in self.specials):
-            return self.encode(text)
-        first = parts[0]
-        del parts[0]
-        words = self.words
-        try:
-            values = [words[p] for p in parts]
-        except KeyError:
-            values = [words[p] if p in words else self.word(p) for p in parts]
-        if None in values:
-            return self.encode(text)
-        return self.encode(first) + b"".join(values)
+        return next(self.documents(pa.array([text], pa.string())))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -116,8 +118,8 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, eod:
 
         def kernel(ids, texts):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for i, text in zip(ids, texts):
-                data = encoder.document(text) + tail
+            for i, data in zip(ids.to_pylist(), encoder.documents(texts)):
+                data += tail
                 n, start, piece = len(data) // 4, 0, 0
                 size = n % capacity or capacity
                 while start < n:
@@ -128,7 +130,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, eod:
 
         return kernel
 
-    made = arrow_map(docs, [F.col("doc_id").cast("bigint").alias("doc_id"), "text"], "doc_id long, piece int, start long, length long, ids_crc32 long", setup)
+    made = arrow_map(docs, [F.col("doc_id").cast("bigint").alias("doc_id"), "text"], "doc_id long, piece int, start long, length long, ids_crc32 long", setup, arrow_in=True)
     return written(made.withColumn("uid", F.monotonically_increasing_id()))
 
 
@@ -191,10 +193,11 @@ def mutate(bins: list[list[int]], sizes: list[int], capacity: int, rng: np.rando
     return best_fit(kept, loose, sizes, capacity)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, given: list[list[list[int]]], population: int = 5, generations: int = 8, patience: int = 3) -> list[list[list[int]]]:
-    """Individuals, best first, after some generations; ends early at the lower bound."""
+def evolve(sizes: list[int], capacity: int, seed: int, given: list[list[list[int]]], population: int = 5, generations: int = 8, patience: int = 3, slack: int = 0) -> list[list[list[int]]]:
+    """Individuals, best first, after some generations; ends early within ``slack`` bins of the
+    lower bound."""
     rng = np.random.default_rng(seed)
-    bound = lower_bound(np.array(sizes), capacity)
+    bound = lower_bound(np.array(sizes), capacity) + slack
     everyone = [[list(b) for b in x] for x in given]
     if not everyone:
         everyone.append(best_fit([], list(range(len(sizes))), sizes, capacity))
@@ -241,24 +244,24 @@ def as_bins(data: bytes) -> list[list[int]]:
     return [b for b in bins if b]
 
 
-def evolved(block: int, island: int, uids: np.ndarray, sizes: np.ndarray, capacity: int, seed: int, given: list[list[list[int]]]) -> dict:
+def evolved(block: int, island: int, uids: np.ndarray, sizes: np.ndarray, capacity: int, seed: int, given: list[list[list[int]]], slack: int) -> dict:
     listed = sizes.tolist()
-    people = evolve(listed, capacity, hash((seed, block, island)) & 0x7FFFFFFF, given)
+    people = evolve(listed, capacity, hash((seed, block, island)) & 0x7FFFFFFF, given, slack=slack)
     n, packed = len(listed), [as_bytes(x, len(listed)) for x in people[:3]]
-    done = len(people[0]) <= lower_bound(sizes, capacity)
+    done = len(people[0]) <= lower_bound(sizes, capacity) + slack
     return {"block": block, "island": island, "n_bins": len(people[0]), "done": done, "uids": uids.astype("<i8").tobytes(), "sizes": sizes.astype("<i4").tobytes(), "best": packed[0], "rest": b"".join(packed[1:]) if n else b""}
 
 
-def pack_blocks(items: DataFrame, blocks: int, capacity: int, islands: int, epochs: int, seed: int) -> DataFrame:
+def pack_blocks(items: DataFrame, blocks: int, capacity: int, islands: int, epochs: int, seed: int, slack: int = 0) -> DataFrame:
     """uid, bin (unique over blocks), offset, fill for every row of ``items`` (uid, length).
 
-    A group is one block on one island: about ``BLOCK_ITEMS`` rows at any corpus size.
+    A block rests within ``slack`` bins of its lower bound. A group is one block on one island: about ``BLOCK_ITEMS`` rows at any corpus size.
     """
     import pandas as pd
 
     def first(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("uid")
-        return pd.DataFrame([evolved(int(key[0]), int(key[1]), rows["uid"].to_numpy(), rows["length"].to_numpy(), capacity, seed, [])])
+        return pd.DataFrame([evolved(int(key[0]), int(key[1]), rows["uid"].to_numpy(), rows["length"].to_numpy(), capacity, seed, [], slack)])
 
     def later(batches):
         for rows in batches:
@@ -268,7 +271,7 @@ def pack_blocks(items: DataFrame, blocks: int, capacity: int, islands: int, epoc
                 own = [as_bins(r.best), *(as_bins(r.rest[i : i + 4 * len(uids)]) for i in range(0, len(r.rest), 4 * len(uids)))]
                 if r.migrant is not None:
                     own.append(as_bins(r.migrant))
-                out.append(evolved(r.block, r.island, uids, sizes, capacity, seed + r.epoch, own))
+                out.append(evolved(r.block, r.island, uids, sizes, capacity, seed + r.epoch, own, slack))
             if out:
                 yield pd.DataFrame(out)
 
@@ -310,8 +313,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, islands: int = 2, epochs:
     full = pieces.filter(F.col("length") >= capacity).select("*", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if not n:
         return full
-    placed = written(pack_blocks(short, max(1, round(n / BLOCK_ITEMS)), capacity, islands, epochs, seed))
-    if n > 1.5 * BLOCK_ITEMS:
+    # With several blocks each may leave a bin that it cannot fill, since those are pooled below.
+    several = n > 1.5 * BLOCK_ITEMS
+    placed = written(pack_blocks(short, max(1, round(n / BLOCK_ITEMS)), capacity, islands, epochs, seed, int(several)))
+    if several:
         # Bins that a block could not fill are pooled over all blocks and packed again.
         poor = placed.filter(F.col("fill") < pool_below * capacity)
         before, m = poor.agg(F.count_distinct("bin"), F.count("*")).first()
