@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,8 +97,6 @@ def arrow_map(
 
 def attach(df: DataFrame, text: str, name: str, schema: str, setup: Callable[[], Callable[[list], Sequence[Sequence]]]) -> DataFrame:
     """``df`` with a struct column ``name`` computed from the text column; all other columns stay."""
-    import pandas as pd
-
     fields = [f.name for f in T.StructType.fromDDL(schema)]
     made: list = []
 
