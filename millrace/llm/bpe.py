@@ -1,11 +1,12 @@
 """Byte-level BPE by a lazily determinised finite-state transducer.
 
 A sequence of tokens is the BPE encoding of its bytes exactly if every two neighbours are what
-BPE makes of their joined bytes. The nondeterministic transducer guesses where tokens end: it
-holds, for each possible start of the token in progress, the last token before it and a node of
-the vocabulary's trie. Determinising by subsets on demand gives states that are sets of such
-guesses; outputs on which all guesses agree are emitted at once, so a token leaves after a
-lookahead that is bounded by the longest vocabulary entry. Transitions are kept once computed.
+BPE makes of their joined bytes. So each prefix of a piece has one encoding, and a nondeterministic
+transducer that guesses where tokens end holds, for each possible start of the token in progress,
+the last token before it and a node of the vocabulary's trie. Determinising by subsets, on demand,
+gives states that are sets of such guesses; a state's output is the last token of the encoding of
+what was read so far, and transitions are kept once computed. Tokens on which all guesses of a
+state agree are settled and are emitted, after a bounded lookahead.
 
 Decoding feeds token bytes to an incremental UTF-8 state machine, so text can be released while
 ids still arrive, even where a character's bytes lie in different tokens.
@@ -18,12 +19,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_map, read
+from millrace.llm.words import Kept, joined, parts_of, slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,9 +39,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Bytes of one pre-token in, token ids out."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000, max_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000, max_pairs: int = 400_000):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.size_of = {i: len(t) for t, i in ranks.items()}
         self.max_states, self.max_pairs = max_states, max_pairs
         self.child: dict[int, int] = {}
         token_at, inner = [-1], [True]
@@ -54,21 +59,23 @@ class Transducer:
                 node = after
             token_at[node] = rank
         self.token_at, self.inner = token_at, inner
+        self.nodes = len(token_at)  # a guess is last token * nodes + node
         self.fits: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
         """Forget all states; only between pre-tokens."""
-        start = ((-1, 0, ()),)
-        self.states = [start]
-        self.number = {start: 0}
-        self.delta: list[dict[int, tuple[int, tuple]]] = [{}]
+        start = (-self.nodes,)
+        self.states, self.last, self.number = [start], [-1], {start: 0}
+        self.delta: dict[int, int] = {}
+        self.piece, self.path = b"", []
 
-    def merged(self, data: bytes) -> list[int]:
+    def merged(self, data: bytes, parts_left: int = 1) -> list[bytes]:
         """BPE by the definition: join the neighbours of least rank, leftmost first."""
         ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > parts_left:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 rank = ranks.get(parts[i] + parts[i + 1])
@@ -77,7 +84,33 @@ class Transducer:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        return parts
+
+    def split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that BPE joins last to make this one; None for a single byte."""
+        if token not in self.halves:
+            parts = self.merged(self.bytes_of[token], 2)
+            self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.halves[token]
+
+    def stays(self, left: int, right: int) -> bool:
+        """Whether no join across the border of two tokens comes before a join within them. Joins
+        are undone from the last to the first; at each step the pair that then meets at the border
+        must not join earlier than what was undone."""
+        limit = 1 << 62
+        while True:
+            rank = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+            if rank is not None and rank < limit:
+                return False
+            # The younger of the two joins is undone; on equal ranks the right one, which is made
+            # after the left one.
+            a, b = self.split(left), self.split(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and left > right:
+                limit, left = left, a[1]
+            else:
+                limit, right = right + 1, b[0]
 
     def follows(self, left: int, right: int) -> bool:
         """Whether BPE keeps the two tokens as they are (left is -1 at the start)."""
@@ -86,36 +119,32 @@ class Transducer:
         if known is None:
             if len(self.fits) >= self.max_pairs:
                 self.fits.clear()
-            if left < 0:
-                known = self.merged(self.bytes_of[right]) == [right]
-            else:
-                known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self.merged(self.bytes_of[right]) == [self.bytes_of[right]] if left < 0 else self.stays(left, right)
             self.fits[key] = known
         return known
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple]:
-        """Compute, keep and return a transition: the next state and the ids emitted."""
-        alive, ended = [], None
-        for last, node, pending in self.states[state]:
-            after = self.child.get(node << 8 | byte)
+    def move(self, state: int, byte: int) -> int:
+        """Compute, keep and return a transition."""
+        child, inner, token_at = self.child, self.inner, self.token_at
+        alive, ended, nodes = [], -1, self.nodes
+        for guess in self.states[state]:  # the oldest start first
+            last, node = divmod(guess, nodes)
+            after = child.get(node << 8 | byte)
             if after is None:
                 continue
-            if self.inner[after]:
-                alive.append((last, after, pending))
-            token = self.token_at[after]
-            if ended is None and token >= 0 and self.follows(last, token):
-                ended = (token, 0, (*pending, token))
-        alive.append(ended)
-        first, shared = alive[0][2], 0
-        while shared < len(first) and all(len(x[2]) > shared and x[2][shared] == first[shared] for x in alive):
-            shared += 1
-        key = tuple(sorted((last, node, pending[shared:]) for last, node, pending in alive))
-        after_state = self.number.get(key)
-        if after_state is None:
-            after_state = self.number[key] = len(self.states)
-            self.states.append(key)
-            self.delta.append({})
-        found = self.delta[state][byte] = (after_state, first[:shared])
+            if inner[after]:
+                alive.append(last * nodes + after)
+            token = token_at[after]
+            if ended < 0 and token >= 0 and self.follows(last, token):
+                ended = token
+        alive.append(ended * nodes)
+        guesses = tuple(alive)
+        found = self.number.get(guesses)
+        if found is None:
+            found = self.number[guesses] = len(self.states)
+            self.states.append(guesses)
+            self.last.append(ended)
+        self.delta[state << 8 | byte] = found
         return found
 
     def encode(self, piece: bytes) -> list[int]:
@@ -125,18 +154,68 @@ class Transducer:
             return [whole]
         if len(self.states) > self.max_states:
             self.reset()
-        state, out, delta = 0, [], self.delta
-        for byte in piece:
-            step = delta[state].get(byte) or self.move(state, byte)
-            state = step[0]
-            if step[1]:
-                out.extend(step[1])
-        for _, node, pending in self.states[state]:
-            if node == 0:
-                out.extend(pending)
+        # Words often come in order: go on from what they share with the piece before.
+        before = self.piece
+        for shared in (10, 8, 6, 4, 2, 0):
+            if piece[:shared] == before[:shared] and len(piece) >= shared <= len(before):
                 break
+        path = self.path[:shared]
+        state, get = path[-1] if shared else 0, self.delta.get
+        for byte in piece[shared:]:
+            after = get(state << 8 | byte)
+            state = self.move(state, byte) if after is None else after
+            path.append(state)
+        self.piece, self.path = piece, path
+        out, at, last, size_of = [], len(piece), self.last, self.size_of
+        while at:
+            token = last[path[at - 1]]
+            out.append(token)
+            at -= size_of[token]
+        out.reverse()
         return out
 
+    def stream(self, piece: bytes, held: int = 512) -> Iterator[int]:
+        """As ``encode``, for pieces of any length: every ``held`` bytes, the tokens on which all
+        guesses agree leave. All encodings of prefixes share what lies before a bounded lookahead,
+        so what is held back is bounded too."""
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            yield whole
+            return
+        state, begun, path = 0, 0, []  # path: states after each byte from ``begun`` on
+
+        def borders(at: int) -> list[int]:
+            """Where tokens of the encoding of the prefix up to ``at`` begin and end."""
+            out = [at]
+            while at > begun:
+                at -= self.size_of[self.last[path[at - begun - 1]]]
+                out.append(at)
+            return out
+
+        def tokens(at: int) -> Iterator[int]:
+            for end in reversed(borders(at)[:-1]):
+                yield self.last[path[end - begun - 1]]
+
+        for n, byte in enumerate(piece, 1):
+            after = self.delta.get(state << 8 | byte)
+            state = self.move(state, byte) if after is None else after
+            path.append(state)
+            if len(path) % held == 0:
+                starts = [n - self.depth(guess % self.nodes) for guess in self.states[state]]
+                settled = max(set.intersection(*(set(borders(p)) for p in starts)))
+                if settled > begun:
+                    yield from tokens(settled)
+                    path, begun = path[settled - begun :], settled
+        yield from tokens(begun + len(path))
+
+    def depth(self, node: int) -> int:
+        """Bytes from the trie's root to a node."""
+        if not hasattr(self, "depths"):
+            self.depths = [0] * len(self.token_at)
+            for key, after in self.child.items():  # parents come before their children
+                self.depths[after] = self.depths[key >> 8] + 1
+        return self.depths[node]
+
 
 class Utf8Stream:
     """Incremental UTF-8 decoding; state is what a started character still needs."""
@@ -146,8 +225,11 @@ class Utf8Stream:
 
     def feed(self, data: bytes) -> str:
         """Text completed by ``data``. Ill-formed parts become U+FFFD, one for each maximal part."""
-        if self.need == 0 and data.isascii():
-            return data.decode("ascii")
+        if self.need == 0:
+            try:
+                return data.decode()  # well-formed and complete: no state is left
+            except UnicodeDecodeError:
+                pass
         out, i = [], 0
         while i < len(data):
             b = data[i]
@@ -181,21 +263,32 @@ class Utf8Stream:
         return "�" if unfinished else ""
 
 
+def added(a: tuple, b: tuple) -> tuple[bytes, int, bytes]:
+    return a[0] + b[0], a[1] + b[1], a[2] + b[2]
+
+
+#: Bytes from which a pre-token is encoded by the streaming form.
+LONG_PIECE = 4096
+
+
 class Codec:
-    """Texts to ids and back, with results of frequent space-led words kept (bounded)."""
+    """Texts to ids and back, with results of space-led words kept (bounded)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 400_000):
         import regex
 
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
         self.bytes_of = self.transducer.bytes_of
-        self.max_words = max_words
-        self.words: dict[str, tuple | None] = {"": None}
+        self.csv_of = {i: b"%d," % i for i in self.bytes_of}
+        self.words = Kept(self.word, max_words)
 
     def encode(self, text: str) -> list[int]:
-        run = self.transducer.encode
-        return [i for piece in self.pieces(text) for i in run(piece.encode("utf-8", "surrogatepass"))]
+        out: list[int] = []
+        for piece in self.pieces(text):
+            data = piece.encode("utf-8", "surrogatepass")
+            out.extend(self.transducer.encode(data) if len(data) < LONG_PIECE else self.transducer.stream(data))
+        return out
 
     def decode_stream(self, ids: Iterable[int]) -> Iterable[str]:
         """Text, released as soon as its bytes are complete."""
@@ -209,38 +302,41 @@ class Codec:
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(self.decode_stream(ids))
 
-    def both(self, text: str) -> tuple[bytes, int, bytes]:
+    def described(self, ids: list[int]) -> tuple[bytes, int, bytes]:
         """Decimal ids with a comma after each, their number, and the bytes they decode to."""
-        ids = self.encode(text)
-        return b"".join(b"%d," % i for i in ids), len(ids), self.decode(ids).encode()
-
-    def word(self, part: str) -> tuple | None:
-        """``both`` of a space and ``part``; None if a pre-token may cross that space."""
-        if len(self.words) >= self.max_words:
-            self.words = {"": None}
-        found = self.words[part] = None if part[0].isspace() else self.both(" " + part)
-        return found
+        data = b"".join(map(self.bytes_of.__getitem__, ids))
+        machine = Utf8Stream()
+        text = machine.feed(data)
+        return b"".join(map(self.csv_of.__getitem__, ids)), len(ids), (text + machine.close()).encode()
+
+    def both(self, text: str) -> tuple[bytes, int, bytes]:
+        """``described`` ids of a text."""
+        return self.described(self.encode(text))
+
+    def word(self, part: str) -> tuple[bytes, int, bytes]:
+        """A part led by its space. Letters are one piece, a final mark another, and so is a line
+        end between letters."""
+        if part.isalpha() and len(part) < LONG_PIECE:
+            return self.described(self.transducer.encode(b" " + part.encode()))
+        if part[-1] in ".," and part[:-1].isalpha():
+            return added(self.words[part[:-1]], self.both(part[-1]))
+        left, line, right = part.partition("\n")
+        if line and left[:-1].isalpha() and right.isalpha() and len(right) < LONG_PIECE:
+            return added(added(self.words[left], self.both(line)), self.described(self.transducer.encode(right.encode())))
+        return self.both(" " + part)
+
+    def documents(self, texts: pa.Array) -> Iterator[tuple[memoryview, int, memoryview]]:
+        """As ``both``, for a column of whole texts."""
+        for start, n in slices(texts):
+            results, number, starts = parts_of(texts.slice(start, n), self.words, self.both)
+            (csv, a), (data, b) = (joined([r and r[k] for r in results], number, starts) for k in (0, 2))
+            counts = np.concatenate([[0], np.cumsum(np.array([r[1] if r else 0 for r in results])[number])])[starts]
+            for i in range(n):
+                yield csv[a[i] : a[i + 1]], int(counts[i + 1] - counts[i]), data[b[i] : b[i + 1]]
 
     def document(self, text: str | None) -> tuple[bytes, int, bytes]:
-        """As ``both``, for a whole text. A pre-token always starts at a space that is followed by
-        something else than white space, so such parts are encoded apart."""
-        if not text:
-            return b"", 0, b""
-        parts = text.split(" ")
-        first = parts[0]
-        if not first or len(parts) == 1:
-            return self.both(text)
-        rest, words = parts[1:], self.words
-        try:
-            values = [words[p] for p in rest]
-        except KeyError:
-            values = [words[p] if p in words else self.word(p) for p in rest]
-            if words is not self.words:  # emptied on the way
-                words = self.words
-        if None in values:
-            return self.both(text)
-        values.insert(0, self.both(first))
-        return b"".join([v[0] for v in values]), sum([v[1] for v in values]), b"".join([v[2] for v in values])
+        csv, n, data = next(self.documents(pa.array([text], pa.string())))
+        return bytes(csv), n, bytes(data)
 
 
 def default_path() -> str:
@@ -279,11 +375,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         codec = Codec(load_ranks(default_path()), default_pattern())
 
         def kernel(ids, texts):
-            found = [codec.document(t) for t in texts]
-            sha = lambda data: hashlib.sha256(data).hexdigest()
-            return ids, [n for _, n, _ in found], [sha(csv[:-1]) for csv, _, _ in found], [sha(data) for _, _, data in found]
+            out: tuple[list, ...] = ([], [], [])
+            for csv, n, data in codec.documents(texts):
+                for column, value in zip(out, (n, hashlib.sha256(csv[:-1]).hexdigest(), hashlib.sha256(data).hexdigest())):
+                    column.append(value)
+            return [ids, *out]
 
         return kernel
 
     docs = read(spark, sf_dir, "documents")
-    return arrow_map(docs, [F.col("doc_id").cast("bigint").alias("doc_id"), "text"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", setup)
+    return arrow_map(docs, [F.col("doc_id").cast("bigint").alias("doc_id"), "text"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", setup, arrow_in=True)
