@@ -100,9 +100,13 @@ def _thinned(spark, sf_dir):
     return table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0"), table(spark, sf_dir, "orders").filter("o_custkey % 5 <> 0")
 
 
-def _join(kind):
+def _whole(spark, sf_dir):
+    return table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+
+
+def _join(kind, sides=_thinned):
     def query(spark, sf_dir):
-        customers, orders = _thinned(spark, sf_dir)
+        customers, orders = sides(spark, sf_dir)
         return joins.join_pair(customers, orders, "c_custkey", "o_custkey", kind).select("c_custkey", "o_orderkey")
 
     return query
@@ -165,11 +169,13 @@ QUERIES = {
     "percentiles_exact": percentiles_exact, "percentiles_ok": percentiles_ok, "table_aggs": table_aggs, "group_concat": group_concat,
     "execute_clauses": execute_clauses, "execute_join": execute_join, "top_by_key_small": top_by_key_small, "top_by_key_large": top_by_key_large,
     "join_inner": _join("inner"), "join_left": _join("left"), "join_right": _join("right"), "join_full": _join("full"),
+    **{f"join_{kind}_all": _join(kind, _whole) for kind in ("inner", "left", "right", "full")},
     "join_broadcast": join_broadcast, "join_last_match": join_last_match, "join_null_safe": join_null_safe, "cogroup_counts": cogroup_counts,
     "cartesian": cartesian, "semi_by_set": semi_by_set, "skew_join": skew_join, "upsert": _upsert(False), "upsert_replace_only": _upsert(True), "lookup": lookup,
 }
 
 _OUTER = "SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey%3<>0) c {} JOIN (SELECT * FROM orders WHERE o_custkey%5<>0) o ON c_custkey=o_custkey"
+_ALL = "SELECT c_custkey, o_orderkey FROM customer {} JOIN orders ON c_custkey=o_custkey"
 _UPSERT = "SELECT k, coalesce(n.v,o.v) AS v FROM (SELECT c_custkey k, 'old' v FROM customer WHERE c_custkey%2=0) o {} JOIN (SELECT c_custkey k, 'new' v FROM customer WHERE c_custkey%3=0) n USING (k)"
 _TOP = "SELECT user_id, event_id, value, rk FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value {}, event_id) AS rk FROM events) WHERE rk<=3"
 
@@ -196,6 +202,7 @@ SQL = {
     "join_left": _OUTER.format("LEFT"),
     "join_right": _OUTER.format("RIGHT"),
     "join_full": _OUTER.format("FULL"),
+    **{f"join_{kind}_all": _ALL.format(kind.upper()) for kind in ("inner", "left", "right", "full")},
     "join_broadcast": "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey=n_nationkey",
     "join_last_match": "SELECT c_custkey, k FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY 1) ON c_custkey=o_custkey",
     "join_null_safe": "SELECT a.event_id AS l, b.n_nationkey AS r FROM (SELECT event_id, nullif(event_id%26,25) AS k FROM events) a JOIN (SELECT n_nationkey, nullif(n_nationkey,0) AS k FROM nation) b ON a.k IS NOT DISTINCT FROM b.k",

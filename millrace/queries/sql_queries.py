@@ -32,6 +32,7 @@ QUERIES = {
     "sql_order_limit": _query("SELECT event_id, value * 2 + 1 AS v FROM events WHERE value >= 10 AND (event_type = \"click\" OR event_type <> \"view\") ORDER BY v DESC, event_id LIMIT 20;"),
     "sql_global": _query("SELECT COUNT(*) AS n, AVG(user_id) AS a, MIN(value) AS lo, MAX(value) AS hi FROM events WHERE value > 5;"),
     "sql_python_expr": _query('SELECT event_id, $"event_type[:2].upper()" AS t FROM events WHERE $"value > 90 and event_id % 2 == 0";'),
+    "sql_left_pair_all": _query("SELECT c.c_custkey AS c_custkey, o.o_orderkey AS o_orderkey FROM customer AS c LEFT JOIN orders AS o USING (c.c_custkey, o.o_custkey);"),
 }
 
 SQL = {
@@ -47,4 +48,5 @@ SQL = {
     "sql_order_limit": "SELECT event_id, value*2+1 AS v FROM events WHERE value>=10 AND (event_type='click' OR event_type<>'view') ORDER BY v DESC, event_id LIMIT 20",
     "sql_global": "SELECT count(*) AS n, avg(user_id) AS a, min(value) AS lo, max(value) AS hi FROM events WHERE value>5",
     "sql_python_expr": "SELECT event_id, upper(event_type[1:2]) AS t FROM events WHERE value>90 AND event_id%2=0",
+    "sql_left_pair_all": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey=o_custkey",
 }

@@ -44,6 +44,11 @@ def stream_count_zero_fill(spark, sf_dir):
     return _local(windows.zero_filled(counts, "1 HOUR"))
 
 
+def stream_count_zero_fill_all(spark, sf_dir):
+    counts = state.to_end(windows.count_by_window(_events(spark, sf_dir), "ts", "1 hour"), "complete")
+    return _local(windows.zero_filled(counts, "1 HOUR"))
+
+
 def stream_update_state(spark, sf_dir):
     folder = f"{state.local_scratch()}/update-{uuid.uuid4().hex}"
     last = []
@@ -75,12 +80,17 @@ def stream_join(spark, sf_dir):
 # --- graphs: suppliers that share orders ---
 
 
-def _edges(spark, sf_dir):
+def _all_edges(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     a, b = lines.alias("a"), lines.alias("b")
     same = (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") + 1 == F.col("b.l_linenumber"))
     pairs = a.join(b, same).select(F.col("a.l_suppkey").alias("src"), F.col("b.l_suppkey").alias("dst"))
-    return pairs.filter("src <> dst AND src % 7 <> 0").distinct()
+    return pairs.filter("src <> dst").distinct()
+
+
+def _edges(spark, sf_dir):
+    """The part of the edges that the SQL of sssp and components is about."""
+    return _all_edges(spark, sf_dir).filter("src % 7 <> 0")
 
 
 def sssp(spark, sf_dir):
@@ -92,8 +102,16 @@ def components(spark, sf_dir):
     return pregel.connected_components(_edges(spark, sf_dir).filter("(src + dst) % 9 = 0"))
 
 
+def sssp_all(spark, sf_dir):
+    return pregel.shortest_paths(_all_edges(spark, sf_dir), 1).select("id", F.col("distance").cast("bigint").alias("d"))
+
+
+def components_all(spark, sf_dir):
+    return pregel.connected_components(_all_edges(spark, sf_dir))
+
+
 def pagerank_ok(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
+    edges = _all_edges(spark, sf_dir)
     ranks = pregel.pagerank(edges)
     # With damping, no rank is below its base, and ranks with no dangling pages would sum to 1.
     n = ranks.count()
@@ -105,6 +123,11 @@ def cosine_topk(spark, sf_dir):
     return examples.cosine_top(vectors.filter("vec_id < 20"), vectors, 3)
 
 
+def cosine_topk_by_50(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return examples.cosine_top(vectors.filter("vec_id % 50 = 0"), vectors, 3)
+
+
 def kmeans(spark, sf_dir):
     return examples.kmeans(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x")), 5)
 
@@ -118,6 +141,7 @@ QUERIES = {
     "stream_tumble": stream_tumble, "stream_slide": stream_slide, "stream_key_window": stream_key_window, "stream_count_zero_fill": stream_count_zero_fill,
     "stream_update_state": stream_update_state, "stream_union": stream_union, "stream_transform": stream_transform, "stream_join": stream_join,
     "sssp": sssp, "components": components, "pagerank_ok": pagerank_ok, "cosine_topk": cosine_topk, "kmeans": kmeans, "logreg": logreg,
+    "stream_count_zero_fill_all": stream_count_zero_fill_all, "sssp_all": sssp_all, "components_all": components_all, "cosine_topk_by_50": cosine_topk_by_50,
 }
 
 _EDGES = "WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey=b.l_orderkey AND a.l_linenumber+1=b.l_linenumber WHERE a.l_suppkey<>b.l_suppkey AND a.l_suppkey%7<>0)"
@@ -135,4 +159,7 @@ SQL = {
     "components": _EDGES + ", f AS (SELECT src, dst FROM e WHERE (src+dst)%9=0), u AS (SELECT src, dst FROM f UNION SELECT dst, src FROM f), r AS (SELECT src AS id, src AS c FROM u UNION SELECT u.dst, r.c FROM r JOIN u ON u.src=r.id) SELECT id, min(c) AS component FROM r GROUP BY 1",
     "pagerank_ok": "SELECT TRUE AS ok",
     "cosine_topk": "SELECT a, b, s FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rk FROM embeddings a, embeddings b WHERE a.vec_id<20 AND a.vec_id<>b.vec_id) WHERE rk<=3",
+    # sssp_all and components_all have none, since recursive SQL over all edges is too slow.
+    "stream_count_zero_fill_all": "WITH c AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS w, count(*) AS n FROM events GROUP BY 1), s AS (SELECT unnest(generate_series((SELECT min(w) FROM c), (SELECT max(w) FROM c), INTERVAL '1 hour')) AS w) SELECT w, coalesce(n,0) AS n FROM s LEFT JOIN c USING (w)",
+    "cosine_topk_by_50": "SELECT a, b, s FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rk FROM embeddings a, embeddings b WHERE a.vec_id%50=0 AND a.vec_id<>b.vec_id) WHERE rk<=3",
 }
