@@ -8,6 +8,7 @@ cost one step. The driver sees three numbers a step.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -44,7 +45,7 @@ def run(
     combiner: str | Callable[[Column], Column] = "sum",
     sends: Column | None = None,
     aggregator: Column | None = None,
-    max_supersteps: int = 50,
+    max_supersteps: int | None = None,
     until_inactive: bool = False,
 ) -> DataFrame:
     """Final vertices.
@@ -54,12 +55,15 @@ def run(
     vertices that are active or have a message (others stay as they are); ``send`` is the message
     over vertex and edge columns, sent where ``sends`` holds. The program ends when no message is
     left and no vertex is active (``until_inactive``: all vertices send in
-    every step, until none is active). Messages to unknown vertices are dropped.
+    every step, until none is active). Messages to unknown vertices are dropped. There is no limit of
+    supersteps unless ``max_supersteps`` gives one; if it is reached before the end, that is an error.
     """
     ensure_checkpoint_dir(vertices)
     combine = COMBINERS[combiner] if isinstance(combiner, str) else combiner
     now, mail = vertices, messages
-    for superstep in range(max_supersteps):
+    for superstep in itertools.count():
+        if superstep == max_supersteps:
+            raise RuntimeError(f"after {max_supersteps} supersteps vertices are active or messages under way")
         aggregate = now.agg(aggregator).first()[0] if aggregator is not None else None
         inbox = mail.groupBy(F.col("dst").alias("__to")).agg(combine(F.col("msg")).alias("__msg"))
         joined = now.join(inbox, F.col("id") == F.col("__to"), "left").drop("__to")
@@ -97,11 +101,11 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, damping: float
         return {"rank": F.lit(1.0 / n) if step.superstep == 0 else rank, "active": F.lit(step.superstep < most_steps) & ~still}
 
     empty = start.sparkSession.createDataFrame([], f"dst {dict(start.dtypes)['id']}, msg double")
-    final = run(start, edges, empty, update, F.try_divide("rank", "degree"), "sum", max_supersteps=most_steps + 2, until_inactive=True)
+    final = run(start, edges, empty, update, F.try_divide("rank", "degree"), "sum", until_inactive=True)
     return final.select("id", "rank")
 
 
-def shortest_paths(edges: DataFrame, source, weight: str | None = None, max_supersteps: int = 100) -> DataFrame:
+def shortest_paths(edges: DataFrame, source, weight: str | None = None, max_supersteps: int | None = None) -> DataFrame:
     """id, distance (NULL where unreachable) from ``source``, with non-negative weights (else 1)."""
     cost = F.col(weight).cast("double") if weight else F.lit(1.0)
     ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
@@ -116,7 +120,7 @@ def shortest_paths(edges: DataFrame, source, weight: str | None = None, max_supe
     return final.select("id", "distance")
 
 
-def connected_components(edges: DataFrame, max_supersteps: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, max_supersteps: int | None = None) -> DataFrame:
     """id, component: the least id that is reachable, directions ignored."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     start = both.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("component"), F.lit(True).alias("active"), F.lit(True).alias("better"))
