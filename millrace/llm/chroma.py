@@ -2,8 +2,9 @@
 
 A recording (WAV bytes, 16-bit PCM) becomes a sequence of frames of energy in twelve pitch classes.
 Filters of six shapes are evaluated on that image through its integral image; each gives two bits,
-and sixteen of them a packed 32-bit integer for every frame. Recordings are aligned by the
-histogram of position offsets of shared integers, and judged by the bit errors at the best offset.
+and sixteen of them a packed 32-bit integer for every frame. Recordings are aligned at the offset of
+least bit error. All pairs and all offsets that cover ``MIN_OVERLAP`` codes are judged: the bits of
+two recordings are correlated through their Fourier transforms, which gives exact counts.
 
 Equal fingerprints are one class, searched once. Queries go to the executors in blocks against all
 classes; a task returns its best match for a query.
@@ -30,8 +31,10 @@ FRAME, HOP = 512, 160
 #: Frames that the widest filter spans.
 SPAN = 16
 QUERY_BLOCK = 4096
-#: Votes that an offset needs to be looked at.
-MIN_VOTES = 3
+#: Codes that an alignment covers at least (or all of the shorter recording).
+MIN_OVERLAP = 2 * SPAN
+#: Values of spectra or of correlations held at a time.
+AT_ONCE = 1 << 22
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -135,43 +138,86 @@ def fingerprints(media: DataFrame, key: str = "rec_id", audio: str = "audio") ->
     return arrow_map(media, [F.col(key).cast("bigint").alias("rec_id"), audio], "rec_id long, codes binary", setup)
 
 
+def spectra(prints: list[np.ndarray], length: int) -> np.ndarray:
+    """Transforms of the bits (as 1 and -1) over time: frequency, recording, bit."""
+    signs = np.zeros((length, len(prints), 32), np.float32)
+    for k, p in enumerate(prints):
+        signs[: len(p), k] = (p[:, None] >> np.arange(32, dtype=np.uint32) & 1).astype(np.float32) * 2 - 1
+    return np.fft.rfft(signs, axis=0)
+
+
+def doubled(n: int) -> int:
+    """The least power of two that holds all offsets of two recordings of up to n codes."""
+    return 2 << max(0, n - 1).bit_length()
+
+
 class Align:
     """The best match so far for each of a block of queries."""
 
     def __init__(self, ids: list[int], prints: list[bytes]):
-        self.ids = ids
+        self.ids = np.array(ids, np.int64)
         self.prints = [np.frombuffer(p, "<u4") for p in prints]
-        place = np.concatenate([np.arange(len(p)) for p in self.prints])
-        owner = np.repeat(np.arange(len(ids)), [len(p) for p in self.prints])
-        values = np.concatenate(self.prints)
-        order = np.argsort(values, kind="stable")
-        self.values, self.owner, self.place = values[order], owner[order], place[order]
+        self.lengths = np.array([len(p) for p in self.prints])
         self.best: dict[int, tuple[float, int, int, int]] = {}
-
-    def add(self, rec_id: int, data: bytes) -> None:
-        own = np.frombuffer(data, "<u4")
-        lo, hi = np.searchsorted(self.values, own, "left"), np.searchsorted(self.values, own, "right")
-        count = hi - lo
-        total = int(count.sum())
-        if not total:
-            return
-        at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(total)
-        shift = np.repeat(np.arange(len(own)), count) - self.place[at]
-        pair, votes = np.unique(self.owner[at].astype(np.int64) << 32 | (shift + (1 << 30)), return_counts=True)
-        query = pair >> 32
-        top = np.lexsort((pair, -votes, query))
-        first = top[np.concatenate([[True], query[top][1:] != query[top][:-1]])]
-        for i in first[votes[first] >= MIN_VOTES]:
-            q, offset = int(query[i]), int(pair[i] & 0xFFFFFFFF) - (1 << 30)
-            if self.ids[q] != rec_id:
-                found = (bit_error(own, self.prints[q], offset), rec_id, offset, int(votes[i]))
+        self.least = np.full(len(ids), np.inf)
+        self.kept: dict = {}
+
+    def add(self, rec_ids: list[int], data: list[bytes]) -> None:
+        """Compare with these recordings at all offsets."""
+        others = [np.frombuffer(d, "<u4") for d in data]
+        cases: dict[int, list[list[int]]] = {}
+        for side, prints in enumerate((self.prints, others)):
+            for i, p in enumerate(prints):
+                cases.setdefault(doubled(len(p)), [[], []])[side].append(i)
+        for a, (queries, _) in cases.items():
+            for b, (_, recs) in cases.items():
+                length = max(a, b)
+                most = max(1, AT_ONCE // (16 * length))
+                for q in range(0, len(queries) if recs else 0, most):
+                    asked = queries[q : q + most]
+                    there = self.transformed(asked, length)
+                    some = max(1, AT_ONCE // (length * len(asked)))
+                    for r in range(0, len(recs), some):
+                        part = recs[r : r + some]
+                        self.judge(np.array(asked), there, [rec_ids[i] for i in part], [others[i] for i in part], length)
+
+    def transformed(self, asked: list[int], length: int) -> np.ndarray:
+        """Transforms of some queries; the last ones are kept for the next recordings."""
+        key = (asked[0], asked[-1], len(asked), length)
+        if key not in self.kept:
+            self.kept = {key: np.conj(spectra([self.prints[i] for i in asked], length)).transpose(0, 2, 1).copy()}
+        return self.kept[key]
+
+    def judge(self, asked: np.ndarray, there: np.ndarray, rec_ids: list[int], others: list[np.ndarray], length: int) -> None:
+        # Same less differing bits by offset (negative ones last), recording and query.
+        agree = np.fft.irfft(np.matmul(spectra(others, length), there), length, axis=0)
+        np.rint(agree, out=agree)
+        offset = np.fft.fftfreq(length, 1 / length).astype(np.int64)
+        size, own = np.unique(self.lengths[asked]), np.unique([len(p) for p in others])
+        if len(size) > 1 or len(own) > 1:
+            size, own = self.lengths[asked], np.array([len(p) for p in others])
+        low = np.minimum(size[None, :], own[:, None])
+        covered = np.minimum(size[None, None, :], own[None, :, None] - offset[:, None, None]) - np.maximum(0, -offset)[:, None, None]
+        enough = covered >= np.minimum(MIN_OVERLAP, low)
+        agree *= np.where(enough, 1 / (64.0 * np.maximum(covered, 1)), 0).astype(np.float32)
+        agree += np.where(enough, 0, -1).astype(np.float32)
+        top = agree.max(0)
+        top[np.array(rec_ids)[:, None] == self.ids[asked][None, :]] = -1
+        # What may be best within rounding is judged by exact counts.
+        for r, k in zip(*(x.tolist() for x in np.nonzero((top >= 0.5 - self.least[asked] - 1e-5) & (top > -0.75)))):
+            q = int(asked[k])
+            a, b = others[r], self.prints[q]
+            for shift in offset[agree[:, r, k] >= top[r, k] - 1e-5].tolist():
+                lo, hi = max(0, -shift), min(len(b), len(a) - shift)
+                found = (bit_error(a, b, shift), rec_ids[r], shift, int((a[lo + shift : hi + shift] == b[lo:hi]).sum()))
                 if q not in self.best or found < self.best[q]:
-                    self.best[q] = found
+                    self.best[q], self.least[q] = found, found[0]
 
 
 def best_matches(classes: DataFrame, queries: DataFrame) -> DataFrame:
     """query_class, match_class, bit_error, match_offset, votes: for each row of ``queries`` (of the
-    same columns class_id, codes) the class of least bit error at its most voted offset."""
+    same columns class_id, codes) the class of least bit error over all offsets, and how many
+    codes are equal there (votes)."""
     spark = classes.sparkSession
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
@@ -185,9 +231,8 @@ def best_matches(classes: DataFrame, queries: DataFrame) -> DataFrame:
         def run(batches, shared=shared):
             state = Align(*shared.value)
             for batch in batches:
-                for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    state.add(i, data)
-            rows = [(state.ids[q], *x) for q, x in sorted(state.best.items())]
+                state.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            rows = [(int(state.ids[q]), *x) for q, x in sorted(state.best.items())]
             columns = list(zip(*rows)) or [[]] * 5
             types = [pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["query_class", "bit_error", "match_class", "match_offset", "votes"])
