@@ -31,9 +31,9 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Further proposals.
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}))")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 
 #: Words that raise a kind's score when they stand within WINDOW code points before a span.
 CONTEXT = {
@@ -109,6 +109,40 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def ibans(text: str) -> Iterable[tuple[int, int]]:
+    """Account numbers: the longest that passes the check of those that end where a group does."""
+    done = 0
+    for m in IBAN.finditer(text):
+        if m.start() < done:
+            continue
+        for end in range(m.end(1), m.end(), -1):
+            if text[end - 1] == " " or (text[end : end + 1].isascii() and text[end : end + 1].isalnum()):
+                continue
+            plain = text[m.start() : end].replace(" ", "")
+            if 15 <= len(plain) <= 34 and mod97(plain):
+                yield m.start(), end
+                done = end
+                break
+
+
+def secrets(text: str, threshold: float) -> Iterable[Span]:
+    """Runs with letters and digits, from their start or else from after the first ``=`` from where
+    they have the score (so that ``token=`` is a context)."""
+    for m in SECRET.finditer(text):
+        run = m.group()
+        # The start must lie before the last letter, the last digit and the last twenty characters.
+        last = min(max(i for i, c in enumerate(run) if c.isalpha()) if any(c.isalpha() for c in run) else -1, max(i for i, c in enumerate(run) if c.isdigit()), len(run) - 20)
+        at = 0
+        while at <= last:
+            span = scored(text, "secret", m.start() + at, m.end())
+            if span.score >= threshold:
+                yield span
+                break
+            at = run.find("=", at) + 1
+            if not at:
+                break
+
+
 def scored(text: str, kind: str, start: int, end: int) -> Span:
     near = text[max(0, start - WINDOW) : start]
     return Span(kind, start, end, min(1.0, PRIOR[kind] + BOOST * bool(CONTEXT_RE[kind].search(near))))
@@ -121,10 +155,10 @@ def spans(text: str | None, threshold: float = 0.5) -> list[Span]:
     found = [scored(text, *s) for s in base_spans(text)]
     if not any(c in text for c in "0123456789"):
         return found
-    more = [scored(text, "iban", *m.span()) for m in IBAN.finditer(text) if 15 <= len(m.group().replace(" ", "")) <= 34 and mod97(m.group().replace(" ", ""))]
+    more = [scored(text, "iban", *x) for x in ibans(text)]
     if "-" in text:
         more += [scored(text, "ssn", *m.span()) for m in SSN.finditer(text)]
-    more += [scored(text, "secret", *m.span()) for m in SECRET.finditer(text) if any(c.isalpha() for c in m.group())]
+    more += secrets(text, threshold)
     return found + [s for s in more if s.score >= threshold]
 
 
