@@ -1,10 +1,10 @@
 """Exact line deduplication, native: DataFrame functions only.
 
-Lines become 128-bit hashes of their keys. The hashes are range-partitioned with document
-(descending) and position as further sort columns, so that a very frequent line is spread over
-many ranges, and each range is read in order: the first occurrence of a hash in it is its largest
-document. Per-range summaries (one row a hash) are then combined, which gives the number of
-documents and the document that keeps the line. Decisions come back as compressed bitmaps, one
+Lines become 128-bit hashes of their keys. The hashes are range-partitioned with the document as
+a further column, so that a very frequent line is spread over many ranges. Aggregation takes the
+place of a secondary sort and of streaming first occurrences: each range is reduced to its distinct
+pairs of hash and document, and those to one row a hash with the number of documents and the
+largest document, which keeps the line. Decisions come back as compressed bitmaps, one
 row a document that loses lines, with an entry for each word of 64 lines in which a line goes.
 
 Defined cases: a null or empty text is one empty line; ties (one line several times in the keeping
@@ -47,9 +47,9 @@ def hashed_lines(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
 def repeated(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """h1, h2, keeper for the hashes found in at least ``min_docs`` documents.
 
-    A document counts once: the first of its rows in the sort order does, found by looking at the
-    row before it. Ranges cut a document's rows of one hash at no place, because the range is by
-    (h1, h2, doc_id) and equal values stay together.
+    A document counts once, since pairs of hash and document are made distinct first. Ranges are
+    by (h1, h2, doc_id), so equal pairs stay together and need no further shuffle; nothing is
+    sorted.
     """
     ranged = lines.select("h1", "h2", "doc_id").repartitionByRange(F.col("h1"), F.col("h2"), F.col("doc_id").desc_nulls_last())
     once = ranged.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("seen"))
