@@ -4,12 +4,14 @@ A sequence of tokens is the BPE encoding of its bytes exactly if every two neigh
 BPE makes of their joined bytes. So each prefix of a piece has one encoding, and a nondeterministic
 transducer that guesses where tokens end holds, for each possible start of the token in progress,
 the last token before it and a node of the vocabulary's trie. Determinising by subsets, on demand,
-gives states that are sets of such guesses; a state's output is the last token of the encoding of
-what was read so far, and transitions are kept once computed. Tokens on which all guesses of a
-state agree are settled and are emitted, after a bounded lookahead.
+gives states that are sets of such guesses; transitions are kept once computed. Every ``HELD``
+bytes the tokens on which all guesses agree are emitted, and with a piece's end the rest. Guesses
+start within one token's length of the byte read, so the lookahead is bounded. Pieces of any length
+take this one path.
 
-Decoding feeds token bytes to an incremental UTF-8 state machine, so text can be released while
-ids still arrive, even where a character's bytes lie in different tokens.
+Decoding is an incremental UTF-8 state machine over bytes, determinised on demand over tokens: a
+transition gives the text that a token completes and the bytes still awaited, so text is released
+while ids still arrive, even where a character's bytes lie in different tokens.
 
 Defined cases: null and empty texts have no ids; malformed bytes decode to U+FFFD; repeated rows
 are treated alike; columns besides id and text are not read.
@@ -20,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Bytes of one pre-token in, token ids out."""
 
+    #: Bytes after which settled tokens are emitted.
+    HELD = 64
+
     def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000, max_pairs: int = 400_000):
         self.ranks = ranks
+        self.longest = max(map(len, ranks), default=0)
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.size_of = {i: len(t) for t, i in ranks.items()}
         self.max_states, self.max_pairs = max_states, max_pairs
@@ -160,53 +167,85 @@ class Transducer:
             if piece[:shared] == before[:shared] and len(piece) >= shared <= len(before):
                 break
         path = self.path[:shared]
-        state, get = path[-1] if shared else 0, self.delta.get
-        for byte in piece[shared:]:
+        out, begun = [], 0
+        # Every HELD bytes, tokens on which all guesses agree leave; the last ones with the end.
+        for at in range(shared, len(piece), self.HELD):
+            if at - begun >= self.HELD:
+                path = self.settle(path, out)
+                begun = at - len(path)
+                if begun and len(self.states) > self.max_states:
+                    # All guesses go through the last border: go on from there in a fresh table.
+                    self.reset()
+                    path = self.walk([], piece[begun:at], self.after(out[-1]))
+            path = self.walk(path, piece[at : at + self.HELD])
+        self.piece, self.path = (piece, path) if not begun else (b"", [])
+        self.read(path, len(path), out)
+        return out
+
+    def after(self, token: int) -> int:
+        """The state in which this token has ended and nothing else can be."""
+        guesses = (token * self.nodes,)
+        found = self.number.get(guesses)
+        if found is None:
+            found = self.number[guesses] = len(self.states)
+            self.states.append(guesses)
+            self.last.append(token)
+        return found
+
+    def walk(self, path: list[int], data: bytes, state: int = 0) -> list[int]:
+        """``path`` (states after each byte read and not settled) with further bytes."""
+        state, get = path[-1] if path else state, self.delta.get
+        for byte in data:
             after = get(state << 8 | byte)
             state = self.move(state, byte) if after is None else after
             path.append(state)
-        self.piece, self.path = piece, path
-        out, at, last, size_of = [], len(piece), self.last, self.size_of
-        while at:
+        return path
+
+    def read(self, path: list[int], end: int, out: list[int]) -> None:
+        """Append the encoding of the bytes of ``path`` up to ``end``, read backwards."""
+        first, at, last, size_of = len(out), end, self.last, self.size_of
+        while at > 0:
             token = last[path[at - 1]]
             out.append(token)
             at -= size_of[token]
-        out.reverse()
-        return out
-
-    def stream(self, piece: bytes, held: int = 512) -> Iterator[int]:
-        """As ``encode``, for pieces of any length: every ``held`` bytes, the tokens on which all
-        guesses agree leave. All encodings of prefixes share what lies before a bounded lookahead,
-        so what is held back is bounded too."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            yield whole
-            return
-        state, begun, path = 0, 0, []  # path: states after each byte from ``begun`` on
-
-        def borders(at: int) -> list[int]:
-            """Where tokens of the encoding of the prefix up to ``at`` begin and end."""
-            out = [at]
-            while at > begun:
-                at -= self.size_of[self.last[path[at - begun - 1]]]
-                out.append(at)
-            return out
-
-        def tokens(at: int) -> Iterator[int]:
-            for end in reversed(borders(at)[:-1]):
-                yield self.last[path[end - begun - 1]]
-
-        for n, byte in enumerate(piece, 1):
-            after = self.delta.get(state << 8 | byte)
-            state = self.move(state, byte) if after is None else after
-            path.append(state)
-            if len(path) % held == 0:
-                starts = [n - self.depth(guess % self.nodes) for guess in self.states[state]]
-                settled = max(set.intersection(*(set(borders(p)) for p in starts)))
-                if settled > begun:
-                    yield from tokens(settled)
-                    path, begun = path[settled - begun :], settled
-        yield from tokens(begun + len(path))
+        out[first:] = out[:first - 1 if first else None : -1]
+
+    def settle(self, path: list[int], out: list[int]) -> list[int]:
+        """Emit the tokens on which all guesses agree; what is left of ``path``."""
+        state, agreed = path[-1], None
+        for guess in self.states[state]:
+            at = len(path) - self.depth(guess % self.nodes)
+            borders = {at}
+            while at > 0:
+                at -= self.size_of[self.last[path[at - 1]]]
+                borders.add(at)
+            agreed = borders if agreed is None else agreed & borders
+        settled = max(agreed)
+        self.read(path, settled, out)
+        return path[settled:]
+
+    def stream(self, blocks: Iterable[bytes]) -> Iterator[int]:
+        """As ``encode`` of the joined blocks, with ids leaving as soon as they are settled. What is
+        held back at the start is no longer than the longest entry, which may be the whole piece."""
+        head, path, state, begun = b"", [], 0, False
+        for block in blocks:
+            if not begun:
+                head += block
+                if len(head) <= self.longest:
+                    continue
+                block, begun = head, True
+            for at in range(0, len(block), self.HELD):
+                path = self.walk(path, block[at : at + self.HELD], state)
+                out: list[int] = []
+                path = self.settle(path, out)
+                state = self.after(out[-1]) if out else state
+                yield from out
+        out = []
+        if begun:
+            self.read(path, len(path), out)
+        elif head:
+            out = self.encode(head)
+        yield from out
 
     def depth(self, node: int) -> int:
         """Bytes from the trie's root to a node."""
@@ -217,97 +256,122 @@ class Transducer:
         return self.depths[node]
 
 
+#: The state of the UTF-8 machine between characters: bytes still needed, bounds of the next
+#: byte, and the value so far.
+READY = (0, 0x80, 0xBF, 0)
+LOST = "\ufffd"
+
+
+def utf8_step(state: tuple[int, int, int, int], b: int) -> tuple[str, tuple[int, int, int, int]]:
+    """One byte: the text that it completes and the state after it. Ill-formed parts become
+    U+FFFD, one for each maximal part."""
+    need, low, high, value = state
+    if need and low <= b <= high:
+        value = value << 6 | b & 0x3F
+        return (chr(value), READY) if need == 1 else ("", (need - 1, 0x80, 0xBF, value))
+    lost = LOST if need else ""  # the started character ends here
+    if b < 0x80:
+        return lost + chr(b), READY
+    if 0xC2 <= b <= 0xDF:
+        return lost, (1, 0x80, 0xBF, b & 0x1F)
+    if 0xE0 <= b <= 0xEF:
+        return lost, (2, 0xA0 if b == 0xE0 else 0x80, 0x9F if b == 0xED else 0xBF, b & 0x0F)
+    if 0xF0 <= b <= 0xF4:
+        return lost, (3, 0x90 if b == 0xF0 else 0x80, 0x8F if b == 0xF4 else 0xBF, b & 0x07)
+    return lost + LOST, READY
+
+
 class Utf8Stream:
     """Incremental UTF-8 decoding; state is what a started character still needs."""
 
-    def __init__(self):
-        self.need, self.low, self.high, self.value = 0, 0x80, 0xBF, 0
+    def __init__(self, state: tuple[int, int, int, int] = READY):
+        self.state = state
 
     def feed(self, data: bytes) -> str:
-        """Text completed by ``data``. Ill-formed parts become U+FFFD, one for each maximal part."""
-        if self.need == 0:
-            try:
-                return data.decode()  # well-formed and complete: no state is left
-            except UnicodeDecodeError:
-                pass
-        out, i = [], 0
-        while i < len(data):
-            b = data[i]
-            if self.need == 0:
-                if b < 0x80:
-                    out.append(chr(b))
-                elif 0xC2 <= b <= 0xDF:
-                    self.need, self.value, self.low, self.high = 1, b & 0x1F, 0x80, 0xBF
-                elif 0xE0 <= b <= 0xEF:
-                    self.need, self.value = 2, b & 0x0F
-                    self.low, self.high = (0xA0 if b == 0xE0 else 0x80), (0x9F if b == 0xED else 0xBF)
-                elif 0xF0 <= b <= 0xF4:
-                    self.need, self.value = 3, b & 0x07
-                    self.low, self.high = (0x90 if b == 0xF0 else 0x80), (0x8F if b == 0xF4 else 0xBF)
-                else:
-                    out.append("�")
-                i += 1
-            elif self.low <= b <= self.high:
-                self.value, self.need, self.low, self.high = self.value << 6 | b & 0x3F, self.need - 1, 0x80, 0xBF
-                if self.need == 0:
-                    out.append(chr(self.value))
-                i += 1
-            else:  # the started character ends here; this byte is looked at again
-                out.append("�")
-                self.need = 0
+        """Text completed by ``data``."""
+        out, state = [], self.state
+        for b in data:
+            text, state = utf8_step(state, b)
+            if text:
+                out.append(text)
+        self.state = state
         return "".join(out)
 
     def close(self) -> str:
         """What an unfinished character at the end becomes."""
-        unfinished, self.need = self.need, 0
-        return "�" if unfinished else ""
+        unfinished, self.state = self.state[0], READY
+        return LOST if unfinished else ""
+
+
+class TokenDecoder:
+    """The UTF-8 machine over tokens; transitions are computed on demand and kept (bounded)."""
+
+    def __init__(self, bytes_of: dict[int, bytes], most: int = 200_000):
+        self.bytes_of, self.most = bytes_of, most
+        self.states, self.number = [READY], {READY: 0}
+        self.width = max(bytes_of, default=0) + 1
+        self.delta: dict[int, tuple[str, int]] = {}
+
+    def move(self, state: int, token: int) -> tuple[str, int]:
+        found = self.delta.get(state * self.width + token)
+        if found is None:
+            machine = Utf8Stream(self.states[state])
+            text = machine.feed(self.bytes_of[token])
+            after = self.number.get(machine.state)
+            if after is None:
+                after = self.number[machine.state] = len(self.states)
+                self.states.append(machine.state)
+            if len(self.delta) >= self.most:
+                self.delta.clear()
+            found = self.delta[state * self.width + token] = (text, after)
+        return found
+
+    def stream(self, ids: Iterable[int]) -> Iterator[str]:
+        """Text, released as soon as its bytes are complete."""
+        state = 0
+        for i in ids:
+            text, state = self.move(state, i)
+            if text:
+                yield text
+        if state:
+            yield LOST
 
 
 def added(a: tuple, b: tuple) -> tuple[bytes, int, bytes]:
     return a[0] + b[0], a[1] + b[1], a[2] + b[2]
 
 
-#: Bytes from which a pre-token is encoded by the streaming form.
-LONG_PIECE = 4096
+#: Bytes of results of words that a process keeps, and of text that it works on at once.
+KEPT_WORDS, AT_ONCE = 64 << 20, 4 << 20
 
 
 class Codec:
     """Texts to ids and back, with results of space-led words kept (bounded)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
-        self.bytes_of = self.transducer.bytes_of
-        self.csv_of = {i: b"%d," % i for i in self.bytes_of}
-        self.words = Kept(self.word, max_words)
+        self.decoder = TokenDecoder(self.transducer.bytes_of)
+        self.words = Kept(self.word, KEPT_WORDS)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for piece in self.pieces(text):
-            data = piece.encode("utf-8", "surrogatepass")
-            out.extend(self.transducer.encode(data) if len(data) < LONG_PIECE else self.transducer.stream(data))
+            out += self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
         return out
 
     def decode_stream(self, ids: Iterable[int]) -> Iterable[str]:
         """Text, released as soon as its bytes are complete."""
-        machine = Utf8Stream()
-        for i in ids:
-            if done := machine.feed(self.bytes_of[i]):
-                yield done
-        if rest := machine.close():
-            yield rest
+        return self.decoder.stream(ids)
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.decode_stream(ids))
+        return "".join(self.decoder.stream(ids))
 
     def described(self, ids: list[int]) -> tuple[bytes, int, bytes]:
         """Decimal ids with a comma after each, their number, and the bytes they decode to."""
-        data = b"".join(map(self.bytes_of.__getitem__, ids))
-        machine = Utf8Stream()
-        text = machine.feed(data)
-        return b"".join(map(self.csv_of.__getitem__, ids)), len(ids), (text + machine.close()).encode()
+        return b"".join([b"%d," % i for i in ids]), len(ids), self.decode(ids).encode()
 
     def both(self, text: str) -> tuple[bytes, int, bytes]:
         """``described`` ids of a text."""
@@ -316,18 +380,18 @@ class Codec:
     def word(self, part: str) -> tuple[bytes, int, bytes]:
         """A part led by its space. Letters are one piece, a final mark another, and so is a line
         end between letters."""
-        if part.isalpha() and len(part) < LONG_PIECE:
+        if part.isalpha():
             return self.described(self.transducer.encode(b" " + part.encode()))
         if part[-1] in ".," and part[:-1].isalpha():
             return added(self.words[part[:-1]], self.both(part[-1]))
         left, line, right = part.partition("\n")
-        if line and left[:-1].isalpha() and right.isalpha() and len(right) < LONG_PIECE:
+        if line and left[:-1].isalpha() and right.isalpha():
             return added(added(self.words[left], self.both(line)), self.described(self.transducer.encode(right.encode())))
         return self.both(" " + part)
 
     def documents(self, texts: pa.Array) -> Iterator[tuple[memoryview, int, memoryview]]:
         """As ``both``, for a column of whole texts."""
-        for start, n in slices(texts):
+        for start, n in slices(texts, AT_ONCE):
             results, number, starts = parts_of(texts.slice(start, n), self.words, self.both)
             (csv, a), (data, b) = (joined([r and r[k] for r in results], number, starts) for k in (0, 2))
             counts = np.concatenate([[0], np.cumsum(np.array([r[1] if r else 0 for r in results])[number])])[starts]
@@ -339,6 +403,12 @@ class Codec:
         return bytes(csv), n, bytes(data)
 
 
+@lru_cache(1)
+def shared_codec(path: str, pattern: str) -> Codec:
+    """One codec a process, whatever the number of its tasks."""
+    return Codec(load_ranks(path), pattern)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -357,7 +427,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     ``path`` is a rank file that each executor can open (installed with the tokenizers)."""
 
     def setup():
-        codec = Codec(load_ranks(path or default_path()), pattern or default_pattern())
+        codec = shared_codec(path or default_path(), pattern or default_pattern())
 
         def kernel(ids, texts):
             found = [codec.encode(t) if t else [] for t in texts]
@@ -372,7 +442,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of the ids of every document, and the digest of what they decode to."""
 
     def setup():
-        codec = Codec(load_ranks(default_path()), default_pattern())
+        codec = shared_codec(default_path(), default_pattern())
 
         def kernel(ids, texts):
             out: tuple[list, ...] = ([], [], [])

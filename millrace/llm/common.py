@@ -5,6 +5,7 @@ Nothing here is imported from outside this subpackage.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -19,6 +20,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Rows that a Python kernel sees at once. Bounds worker memory when texts are very long.
 SLICE_ROWS = 256
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1024
+
 #: Largest estimated size of a side that is sent to every executor; larger sides are shuffled.
 BROADCAST_BYTES = 32 << 20
 
@@ -31,10 +35,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a local session) a folder of our own is chosen.
+    Only where that is unset (tests, a local session) a folder of our own is chosen; a cluster
+    must name one, since executors do not see each other's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -44,11 +51,13 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back.
 
     Lineage ends there, so a lost executor costs no recomputation, and the row count comes
-    from file footers.
+    from file footers. The files are deleted when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/millrace-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,6 +74,13 @@ def held_out(doc_id: Column | str) -> Column:
     return (F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % 4) == 2
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Fewer rows an Arrow batch than Spark's default, since rows are whole texts; a setting of the
+    session's own stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def arrow_map(
     df: DataFrame,
     columns: Sequence[str | Column],
@@ -79,6 +95,7 @@ def arrow_map(
     of ``columns`` and returns one sequence for each field of ``schema`` (any common length). With
     ``arrow_in`` it gets Arrow arrays of whole batches and does its own slicing.
     """
+    bounded_batches(df.sparkSession)
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
 
@@ -97,6 +114,7 @@ def arrow_map(
 
 def attach(df: DataFrame, text: str, name: str, schema: str, setup: Callable[[], Callable[[list], Sequence[Sequence]]]) -> DataFrame:
     """``df`` with a struct column ``name`` computed from the text column; all other columns stay."""
+    bounded_batches(df.sparkSession)
     fields = [f.name for f in T.StructType.fromDDL(schema)]
     made: list = []
 

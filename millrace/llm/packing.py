@@ -4,8 +4,9 @@ An individual is a set of bins. Crossover injects whole well-filled bins of one
 other, removes the bins that would then hold a document twice, and puts the displaced documents
 back by best fit. Pieces are dealt into blocks of bounded size; every block is evolved on several
 islands (rows of a DataFrame), which between epochs send their best individual to the next island.
-A block stops once it has as few bins as a lower bound allows. What lies in poorly filled bins of
-all blocks is pooled and packed once more.
+Every block goes through the same number of generations and migrations, whatever its size and
+however good its first individual is. What lies in poorly filled bins of all blocks is pooled and
+packed once more.
 
 Defined cases: null and empty texts are one end-of-document token; documents longer than a
 sequence are cut, the first piece being the shorter one; repeated rows are packed each on its own;
@@ -19,6 +20,8 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ class WordIds:
     faster; if not, the ``tokenizers`` library itself encodes.
     """
 
-    def __init__(self, path: str, pattern: str, max_words: int = 600_000):
+    def __init__(self, path: str, pattern: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         from tokenizers import Tokenizer
@@ -61,7 +64,7 @@ class WordIds:
         # A special token with a space in it could span parts.
         self.apart = not any(" " in s for s in self.specials)
         self.ends = {c: self.encode(c) for c in ".,"}
-        self.words = Kept(self.word, max_words)
+        self.words = Kept(self.word)
 
     def encode(self, text: str) -> bytes:
         """A whole text; special tokens' strings stand for their ids, as in the library."""
@@ -92,6 +95,12 @@ class WordIds:
         return next(self.documents(pa.array([text], pa.string())))
 
 
+@lru_cache(1)
+def shared_ids(path: str, pattern: str) -> WordIds:
+    """One encoder a process, whatever the number of its tasks."""
+    return WordIds(path, pattern)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable Latin-1
     characters stand for themselves, the other bytes are counted up from U+0100."""
@@ -113,7 +122,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, eod:
     def setup():
         import public_tokenizers
 
-        encoder = WordIds(path or default_path(), public_tokenizers.PATTERN)
+        encoder = shared_ids(path or default_path(), public_tokenizers.PATTERN)
         tail = eod.to_bytes(4, "little")
 
         def kernel(ids, texts):
@@ -151,62 +160,91 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return max(best, int((sizes > capacity // 2).sum()))
 
 
-def best_fit(bins: list[list[int]], loose: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Each loose item, largest first, into the fullest bin that still takes it."""
-    free = sorted((capacity - sum(sizes[i] for i in b), n) for n, b in enumerate(bins))
-    for i in sorted(loose, key=lambda i: (-sizes[i], i)):
-        at = bisect_left(free, (sizes[i], -1))
+@dataclass
+class Packing:
+    """One individual: the bin of each item, and how full each bin is."""
+
+    where: np.ndarray
+    loads: np.ndarray
+
+
+def best_fit(where: np.ndarray, loads: np.ndarray, loose: np.ndarray, sizes: np.ndarray, capacity: int) -> Packing:
+    """Each loose item, in the given order, into the fullest bin that still takes it."""
+    order = np.lexsort((np.arange(len(loads)), capacity - loads))
+    free = list(zip((capacity - loads[order]).tolist(), order.tolist()))
+    placed, made = [], len(loads)
+    for size in sizes[loose].tolist():
+        at = bisect_left(free, (size, -1))
         if at == len(free):
-            bins.append([i])
-            insort(free, (capacity - sizes[i], len(bins) - 1))
+            n, room = made, capacity
+            made += 1
         else:
             room, n = free.pop(at)
-            bins[n].append(i)
-            insort(free, (room - sizes[i], n))
-    return bins
-
-
-def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer bins first; then fuller bins, by the sum of squared fills."""
-    return len(bins), -sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
+        placed.append(n)
+        insort(free, (room - size, n))
+    where = where.copy()
+    where[loose] = placed
+    full = np.zeros(made, np.int64)
+    for room, n in free:
+        full[n] = capacity - room
+    return Packing(where, full)
 
 
-def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Well-filled bins of ``b`` injected into ``a``; bins of ``a`` that repeat an item go, and
-    what they alone held is put back by best fit."""
-    full = sorted(b, key=lambda x: -sum(sizes[i] for i in x))
-    pool = full[: max(1, len(full) * 2 // 3)]
-    chosen = [pool[k] for k in np.flatnonzero(rng.random(len(pool)) < 0.5)] or pool[:1]
-    taken = {i for x in chosen for i in x}
-    kept = [list(x) for x in a if taken.isdisjoint(x)]
-    loose = [i for x in a if not taken.isdisjoint(x) for i in x if i not in taken]
-    return best_fit(kept + [list(x) for x in chosen], loose, sizes, capacity)
+def largest_first(items: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return items[np.lexsort((items, -sizes[items]))]
 
 
-def mutate(bins: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """The emptiest bins and a few random ones are dissolved and their items put back."""
-    order = sorted(range(len(bins)), key=lambda n: sum(sizes[i] for i in bins[n]))
-    gone = set(order[: max(1, len(bins) // 50)]) | set(rng.integers(0, len(bins), 3).tolist())
-    loose = [i for n in gone for i in bins[n]]
-    kept = [list(x) for n, x in enumerate(bins) if n not in gone]
-    rng.shuffle(loose)
-    return best_fit(kept, loose, sizes, capacity)
+def decreasing(sizes: np.ndarray, capacity: int) -> Packing:
+    """Best fit decreasing: the first individual."""
+    return best_fit(np.zeros(len(sizes), np.int64), np.zeros(0, np.int64), largest_first(np.arange(len(sizes)), sizes), sizes, capacity)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, given: list[list[list[int]]], population: int = 5, generations: int = 8, patience: int = 3) -> list[list[list[int]]]:
-    """Individuals, best first, after some generations; ends early at the lower bound."""
+def fitness(x: Packing, capacity: int) -> tuple[int, float]:
+    """Fewer bins first; then fuller bins, by the sum of squared fills."""
+    return len(x.loads), -float(((x.loads / capacity) ** 2).sum())
+
+
+def crossover(a: Packing, b: Packing, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
+    """Well-filled bins of ``b`` injected whole into ``a``; bins of ``a`` that repeat an item go,
+    and what they alone held is put back by best fit."""
+    pool = np.argsort(-b.loads, kind="stable")[: max(1, len(b.loads) * 2 // 3)]
+    chosen = pool[rng.random(len(pool)) < 0.5]
+    if not len(chosen):
+        chosen = pool[:1]
+    new_of_b = np.full(len(b.loads), -1, np.int64)
+    new_of_b[chosen] = np.arange(len(chosen))
+    injected = new_of_b[b.where]
+    taken = injected >= 0
+    stays = np.ones(len(a.loads), bool)
+    stays[a.where[taken]] = False
+    new_of_a = np.where(stays, np.cumsum(stays) - 1 + len(chosen), -1)
+    where = np.where(taken, injected, new_of_a[a.where])
+    loose = largest_first(np.flatnonzero(where < 0), sizes)
+    return best_fit(where, np.concatenate([b.loads[chosen], a.loads[stays]]), loose, sizes, capacity)
+
+
+def mutate(x: Packing, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
+    """The emptiest bins and a few random ones are dissolved; their items are put back in any order."""
+    gone = np.zeros(len(x.loads), bool)
+    gone[np.argsort(x.loads, kind="stable")[: max(1, len(x.loads) // 50)]] = True
+    gone[rng.integers(0, len(x.loads), 3)] = True
+    new = np.where(gone, -1, np.cumsum(~gone) - 1)
+    where = new[x.where]
+    return best_fit(where, x.loads[~gone], rng.permutation(np.flatnonzero(where < 0)), sizes, capacity)
+
+
+def evolve(sizes: np.ndarray, capacity: int, seed: int, given: list[Packing], population: int = 6, generations: int = 6) -> list[Packing]:
+    """Individuals, best first, after a fixed number of generations of any block. The best one is
+    never lost, so that nothing is worse than best fit decreasing."""
     rng = np.random.default_rng(seed)
-    bound = lower_bound(np.array(sizes), capacity)
-    everyone = [[list(b) for b in x] for x in given]
-    if not everyone:
-        everyone.append(best_fit([], list(range(len(sizes))), sizes, capacity))
-    key = lambda x: fitness(x, sizes, capacity)
+    sizes = np.asarray(sizes, np.int64)
+    if not len(sizes):
+        return [Packing(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    key = lambda x: fitness(x, capacity)
+    everyone = list(given) or [decreasing(sizes, capacity)]
     everyone.sort(key=key)
-    if len(everyone[0]) <= bound:
-        return everyone[:1]
     while len(everyone) < population:
         everyone.append(mutate(everyone[0], sizes, capacity, rng))
-    still, best = 0, min(map(key, everyone))
     for _ in range(generations):
         everyone.sort(key=key)
         children = []
@@ -215,40 +253,24 @@ def evolve(sizes: list[int], capacity: int, seed: int, given: list[list[list[int
             child = crossover(everyone[a], everyone[b], sizes, capacity, rng)
             children.append(mutate(child, sizes, capacity, rng) if rng.random() < 0.5 else child)
         everyone = sorted([*everyone, *children], key=key)[:population]
-        now = key(everyone[0])
-        still, best = (0, now) if now < best else (still + 1, best)
-        if len(everyone[0]) <= bound or still >= patience:
-            break
     return everyone
 
 
 # --- islands as rows ---
 
-STATE = "block long, island int, n_bins int, done boolean, uids binary, sizes binary, best binary, rest binary"
-
-
-def as_bytes(individual: list[list[int]], n: int) -> bytes:
-    """Bin number of each item."""
-    where = np.zeros(n, dtype="<i4")
-    for k, b in enumerate(individual):
-        where[b] = k
-    return where.tobytes()
+STATE = "block long, island int, n_bins int, uids binary, sizes binary, best binary, rest binary"
 
 
-def as_bins(data: bytes) -> list[list[int]]:
-    where = np.frombuffer(data, dtype="<i4")
-    bins: list[list[int]] = [[] for _ in range(int(where.max()) + 1 if len(where) else 0)]
-    for i, k in enumerate(where.tolist()):
-        bins[k].append(i)
-    return [b for b in bins if b]
+def as_packing(data: bytes, sizes: np.ndarray) -> Packing:
+    """The individual whose bins are these numbers (empty ones are closed up)."""
+    _, where = np.unique(np.frombuffer(data, dtype="<i4"), return_inverse=True)
+    return Packing(where.astype(np.int64), np.bincount(where, weights=sizes).astype(np.int64))
 
 
-def evolved(block: int, island: int, uids: np.ndarray, sizes: np.ndarray, capacity: int, seed: int, given: list[list[list[int]]]) -> dict:
-    listed = sizes.tolist()
-    people = evolve(listed, capacity, hash((seed, block, island)) & 0x7FFFFFFF, given)
-    n, packed = len(listed), [as_bytes(x, len(listed)) for x in people[:3]]
-    done = len(people[0]) <= lower_bound(sizes, capacity)
-    return {"block": block, "island": island, "n_bins": len(people[0]), "done": done, "uids": uids.astype("<i8").tobytes(), "sizes": sizes.astype("<i4").tobytes(), "best": packed[0], "rest": b"".join(packed[1:]) if n else b""}
+def evolved(block: int, island: int, uids: np.ndarray, sizes: np.ndarray, capacity: int, seed: int, given: list[Packing]) -> dict:
+    people = evolve(sizes, capacity, (seed * 1_000_003 + block * 31 + island) & 0x7FFFFFFF, given)
+    packed = [x.where.astype("<i4").tobytes() for x in people[:3]]
+    return {"block": block, "island": island, "n_bins": len(people[0].loads), "uids": uids.astype("<i8").tobytes(), "sizes": sizes.astype("<i4").tobytes(), "best": packed[0], "rest": b"".join(packed[1:])}
 
 
 def pack_blocks(items: DataFrame, blocks: int, capacity: int, islands: int, epochs: int, seed: int) -> DataFrame:
@@ -267,9 +289,7 @@ def pack_blocks(items: DataFrame, blocks: int, capacity: int, islands: int, epoc
             out = []
             for r in rows.itertuples():
                 uids, sizes = np.frombuffer(r.uids, "<i8"), np.frombuffer(r.sizes, "<i4")
-                own = [as_bins(r.best), *(as_bins(r.rest[i : i + 4 * len(uids)]) for i in range(0, len(r.rest), 4 * len(uids)))]
-                if r.migrant is not None:
-                    own.append(as_bins(r.migrant))
+                own = [as_packing(x, sizes) for x in (r.best, *(r.rest[i : i + 4 * len(uids)] for i in range(0, len(r.rest), 4 * len(uids))), r.migrant)]
                 out.append(evolved(r.block, r.island, uids, sizes, capacity, seed + r.epoch, own))
             if out:
                 yield pd.DataFrame(out)
@@ -288,16 +308,10 @@ def pack_blocks(items: DataFrame, blocks: int, capacity: int, islands: int, epoc
     dealt = items.select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(blocks)).alias("block"))
     one = F.array(*(F.lit(i) for i in range(islands)))
     state = written(dealt.withColumn("island", F.explode(one)).groupBy("block", "island").applyInPandas(first, STATE))
-    finished = state.groupBy("block").agg(F.max("done").alias("over"))
     for epoch in range(1, epochs):
-        open_blocks = finished.filter(~F.col("over")).select("block")
-        going = state.join(open_blocks, "block", "left_semi")
-        if going.isEmpty():
-            break
-        migrants = going.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("best").alias("migrant"))
-        nearer = going.join(migrants, ["block", "island"], "left").withColumn("epoch", F.lit(epoch)).repartition("block", "island").mapInPandas(later, STATE)
-        state = written(state.join(open_blocks, "block", "left_anti").unionByName(nearer))
-        finished = state.groupBy("block").agg(F.max("done").alias("over"))
+        # The elite of each island goes to the next one.
+        migrants = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("best").alias("migrant"))
+        state = written(state.join(migrants, ["block", "island"]).withColumn("epoch", F.lit(epoch)).mapInPandas(later, STATE))
     best = state.groupBy("block").agg(F.min_by(F.struct("uids", "sizes", "best"), F.struct("n_bins", "island")).alias("x")).select("block", "x.*")
     return best.mapInPandas(unpack, "uid long, bin long, offset long, fill long")
 
@@ -312,17 +326,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, islands: int = 2, epochs:
     full = pieces.filter(F.col("length") >= capacity).select("*", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     if not n:
         return full
-    several = n > 1.5 * BLOCK_ITEMS
     placed = written(pack_blocks(short, max(1, round(n / BLOCK_ITEMS)), capacity, islands, epochs, seed))
-    if several:
-        # Bins that a block could not fill are pooled over all blocks and packed again.
-        poor = placed.filter(F.col("fill") < pool_below * capacity)
-        before, m = poor.agg(F.count_distinct("bin"), F.count("*")).first()
-        if before > 1:
-            pooled = poor.select("uid").join(short, "uid")
-            again = written(pack_blocks(pooled, max(1, round(m / BLOCK_ITEMS)), capacity, islands, epochs, seed + 1000).withColumn("bin", F.col("bin") + F.lit(1 << 56)))
-            if again.agg(F.count_distinct("bin")).first()[0] < before:
-                placed = placed.filter(F.col("fill") >= pool_below * capacity).unionByName(again)
+    # Bins that a block could not fill are pooled over all blocks and packed again.
+    poor = placed.filter(F.col("fill") < pool_below * capacity)
+    before, m = poor.agg(F.count_distinct("bin"), F.count("*")).first()
+    if before > 1:
+        pooled = poor.select("uid").join(short, "uid")
+        again = written(pack_blocks(pooled, max(1, round(m / BLOCK_ITEMS)), capacity, islands, epochs, seed + 1000).withColumn("bin", F.col("bin") + F.lit(1 << 56)))
+        if again.agg(F.count_distinct("bin")).first()[0] < before:
+            placed = placed.filter(F.col("fill") >= pool_below * capacity).unionByName(again)
     found = placed.select("uid", F.col("bin").alias("sequence_id"), "offset")
     return pieces.filter(F.col("length") < capacity).join(found, "uid").unionByName(full)
 
