@@ -1,19 +1,22 @@
 """Removal of byte strings that occur more than once, by bucket-pointer refinement.
 
-Wanted: every byte covered by a string of ``length`` bytes that also starts anywhere else. Sorting
-suffixes to that depth starts from q-gram buckets (q is half the length) and refines a bucket by
-the bucket identifiers at a later offset: two strings of ``2q`` bytes are equal if their buckets at
-offsets 0 and q are. Bucket identifiers are 64-bit hashes, so a refined bucket has 128 bits.
-
-To refine as few positions as possible, each start is assigned to an anchor: the q-gram of least
-hash among those that lie within its string. Equal strings have equal anchors at equal offsets, so
+Wanted: every byte covered by a string of ``length`` bytes that also starts anywhere else. Starts
+are sorted into buckets of equal strings of growing length: initial q-gram buckets (q is an eighth
+of the length) are refined by the buckets at later offsets, and refined buckets are used again for
+the next refinement. It goes in levels (half the length, then the length): a level looks only at
+starts whose string of the level before is repeated, since any part of a repeated string is.
+
+To touch as few positions as possible, each start of a level is assigned to an anchor: the q-gram
+of least hash among those within its string. Equal strings have equal anchors at equal offsets, so
 a start whose anchor's bucket is single is done. Starts with one anchor in common are adjacent and
-form a range; the bucket of the whole range (the bytes that its strings cover) is the first
-refinement: where it repeats, all its starts repeat. Only ranges with a shared anchor and another
-surrounding, such as those at the ends of a copied passage, are refined start by start.
+form a range; where the bucket of the whole range (the bytes that its strings cover) repeats, all
+its starts repeat. Ranges with a shared anchor and another surrounding, such as those at the ends
+of a copied passage, are refined start by start: bucket numbers at each place are sorted in pairs
+with those one length later, numbered anew, and doubled again until the level's length is reached.
 
 Each bucket is counted after partial aggregation, so a passage that most documents share costs a
-row a task. Large groups of ranges are split by the refined identifiers of their starts.
+row a task. Anchors with more than ``GROUP`` different ranges are not gathered: their refined
+buckets are counted by an aggregation as well, and the starts of repeated ones are joined back.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing;
 matches never cross texts; rows with an equal id are separate documents (told apart by their
@@ -29,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, read, small_or_shuffled, written
+from millrace.llm.common import BROADCAST_BYTES, arrow_map, read, small_or_shuffled, written
 
 LENGTH = 400
 #: Bytes of text hashed at once; a longer text is hashed on its own, in overlapping parts.
@@ -40,7 +43,7 @@ PART = 1 << 22
 PLACE = np.uint64((1 << 24) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK64 = (1 << 64) - 1
-#: Ranges of one anchor refined in one task.
+#: Different ranges of one anchor that are refined in one task.
 GROUP = 2048
 
 
@@ -101,12 +104,24 @@ def window_argmin(ids: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(backward[:n], forward[width - 1 : width - 1 + n]) & PLACE).astype(np.int64)
 
 
-def ranges(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """text number, first start, last start, anchor bucket, range bucket of all ranges of starts."""
-    q, width = length // 2, length - length // 2 + 1
+def levels(length: int) -> list[tuple[int, int]]:
+    """String length and length of the buckets that its anchors are, for each level."""
+    return [(max(2, length // 2), max(1, length // 8)), (length, max(1, length // 2))]
+
+
+def ranges(texts: list[bytes], length: int = LENGTH, q: int | None = None, runs: list | None = None) -> tuple[np.ndarray, ...]:
+    """text number, first start, last start, anchor bucket, range bucket of all ranges of starts:
+    of all starts, or of those in ``runs`` (for each text, first and last start of its runs)."""
+    q = q or length // 2
+    width = length - q + 1
     out: list[list[np.ndarray]] = [[] for _ in range(5)]
-    # (text, place of its first byte, bytes); parts of one text overlap by one byte less than length.
-    usable = [(i, p, t[p : p + PART + length - 1] if len(t) > PART else t) for i, t in enumerate(texts) for p in range(0, max(1, len(t) - length + 1), PART) if len(t) >= length]
+    # (text, place of its first byte, bytes); parts of one run overlap by one byte less than length.
+    usable = [
+        (i, p, t[p : min(p + PART - 1, last) + length])
+        for i, t in enumerate(texts)
+        for first, last in ([(0, len(t) - length)] if runs is None else runs[i])
+        for p in range(first, last + 1, PART)
+    ]
     at = 0
     while at < len(usable):
         chosen, total = [], 0
@@ -121,33 +136,66 @@ def ranges(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
         sums, down = prefix_hashes(data)
         ids = bucket_ids(sums, down, q)
         least = window_argmin(ids, width)
-        # Starts within a text: all but its last length - 1 places.
+        # Starts within a part: all but its last length - 1 places.
         last_start = firsts + sizes - length
         change = np.zeros(len(data) + 1, np.int32)
         change[firsts] += 1
         change[last_start + 1] -= 1
         starts = np.flatnonzero(np.cumsum(change[:-1]) > 0)
         anchor = least[starts]
-        cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1
+        part = np.searchsorted(firsts, starts, side="right") - 1
+        cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])) + 1
         lo, hi = starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])]
-        m = anchor[np.concatenate([[0], cut])]
-        text = np.searchsorted(firsts, lo, side="right") - 1
+        m, part = anchor[np.concatenate([[0], cut])], part[np.concatenate([[0], cut])]
         shape = ((hi - lo).astype(np.uint64) << np.uint64(32)) | (m - lo).astype(np.uint64)
         whole = mix(((sums[hi + length] - sums[lo]) * down[lo]) ^ mix(shape))
-        for column, value in zip(out, (number[text], lo - firsts[text] + base[text], hi - firsts[text] + base[text], ids[m].view(np.int64), whole.view(np.int64))):
+        for column, value in zip(out, (number[part], lo - firsts[part] + base[part], hi - firsts[part] + base[part], ids[m].view(np.int64), whole.view(np.int64))):
             column.append(value)
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
-def start_ids(data: bytes, lo: int, hi: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Refined bucket (two identifiers) of each start from lo to hi."""
-    q = length // 2
-    sums, down = prefix_hashes(np.frombuffer(data, np.uint8)[lo : hi + length])
+def start_ids(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Refined bucket of each start in ``data`` at which a string fits, by a pair of identifiers:
+    of the bucket of its first half and of the one at the later offset."""
+    q = -(-length // 2)
+    sums, down = prefix_hashes(np.frombuffer(data, np.uint8))
     ids = bucket_ids(sums, down, q)
-    n = hi - lo + 1
+    n = len(data) - length + 1
     return ids[:n].view(np.int64), ids[length - q : length - q + n].view(np.int64)
 
 
+def renumbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of equal keys, and whether a bucket has further members, for each place."""
+    _, number, count = np.unique(keys, return_inverse=True, return_counts=True)
+    return number.astype(np.int64), count[number] > 1
+
+
+def repeated_starts(pieces: list[bytes], length: int, q: int) -> list[np.ndarray]:
+    """For each piece, which of its starts have a string of ``length`` bytes that starts elsewhere
+    in the pieces too.
+
+    The refinement: q-gram buckets first; then places are sorted by the pair of their bucket and
+    the one ``h`` bytes later, and numbered anew, with ``h`` doubled each time. Places that are
+    alone in their bucket go on no further, and neither does what such a place would end.
+    """
+    sizes = np.array([len(p) for p in pieces])
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    firsts = np.cumsum(sizes) - sizes
+    number, shared = renumbered(bucket_ids(*prefix_hashes(data), q))
+    # Places whose string would cross into the next piece are no members of any bucket.
+    left = np.repeat(firsts + sizes, sizes) - np.arange(len(data))
+    h = q
+    while h < length:
+        step = min(h, length - h)
+        n = len(number) - step
+        going = np.flatnonzero(shared[:n] & shared[step:] & (left[:n] >= h + step))
+        refined, again = renumbered(number[going] * len(data) + number[going + step])
+        number, shared = np.full(n, -1, np.int64), np.zeros(n, bool)
+        number[going], shared[going] = refined, again
+        h += step
+    return [shared[a : a + n - length + 1] for a, n in zip(firsts.tolist(), sizes.tolist())]
+
+
 def encoded(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
@@ -157,17 +205,44 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("text").alias("tag"), "text")
 
 
-def all_ranges(docs: DataFrame, length: int) -> DataFrame:
+SPANS = "array<struct<s: int, e: int>>"
+
+
+def runs_of(flags: np.ndarray, lo: int) -> list[tuple[int, int]]:
+    """First and last place of each run of set flags, counted from ``lo``."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return [(lo + a, lo + b - 1) for a, b in edge.reshape(-1, 2).tolist()]
+
+
+def joined_runs(spans: list) -> list[tuple[int, int]]:
+    """Sorted runs of starts, touching and overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for x in spans or ():
+        s, e = x["s"], x["e"]
+        if out and s <= out[-1][1] + 1:
+            if e > out[-1][1]:
+                out[-1] = (out[-1][0], e)
+        else:
+            out.append((s, e))
+    return out
+
+
+def all_ranges(texts: DataFrame, length: int, q: int, before: int) -> DataFrame:
+    """Ranges of all starts of ``texts`` (doc_id, tag, text, spans), or if ``before`` is not zero of
+    those that can be repeated: between the first and last start of a run of repeated strings of
+    ``before`` bytes, less what the string is longer."""
+
     def setup():
-        def kernel(ids, tags, texts):
+        def kernel(ids, tags, texts, spans):
             data = [encoded(t) for t in texts]
-            text, lo, hi, anchor, whole = ranges(data, length)
+            runs = [[(s, e - length + before) for s, e in joined_runs(x)] for x in spans] if before else None
+            text, lo, hi, anchor, whole = ranges(data, length, q, runs)
             place = text.tolist()
             return [ids[i] for i in place], [tags[i] for i in place], lo.astype(np.int32), hi.astype(np.int32), anchor, whole
 
         return kernel
 
-    return arrow_map(keyed(docs), ["doc_id", "tag", "text"], "doc_id long, tag int, lo int, hi int, anchor long, whole long", setup)
+    return arrow_map(texts, ["doc_id", "tag", "text", "spans"], "doc_id long, tag int, lo int, hi int, anchor long, whole long", setup)
 
 
 def same_doc(left: DataFrame, right: DataFrame):
@@ -178,94 +253,99 @@ def renamed(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("doc_id", "r_id").withColumnRenamed("tag", "r_tag")
 
 
-def refined(docs: DataFrame, members: DataFrame, length: int) -> DataFrame:
-    """Spans (doc_id, tag, s, e) of repeated starts in ranges whose anchor other ranges share.
+def beside_texts(docs: DataFrame, right: DataFrame, listed: str, how: str = "inner") -> DataFrame:
+    """``keyed`` rows of ``docs`` with the columns of ``right`` (written; doc_id, tag and the list
+    ``listed``), which is sent to all executors only if its entries are few enough."""
+    n, entries = right.agg(F.count("*"), F.sum(F.size(listed))).first()
+    base, other = keyed(docs), renamed(right)
+    small = 48 * n + 40 * (entries or 0) <= BROADCAST_BYTES
+    return base.join(F.broadcast(other) if small else other, same_doc(base, other), how).drop("r_id", "r_tag")
 
-    ``members``: anchor, whole, n (ranges of that kind), doc_id, tag, lo, hi of one of them.
-    """
-    import pandas as pd
 
-    crowded = members.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    by_doc = written(members.join(crowded, "anchor").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "n", "parts", "lo", "hi")).alias("found")))
-    n = by_doc.count()
-    right = renamed(by_doc)
-    base = keyed(docs)
-    # An entry is about 40 bytes, and a document has few.
-    if not n:
-        return None
+def refined(docs: DataFrame, kinds: DataFrame, length: int, q: int) -> DataFrame:
+    """Runs (doc_id, tag, s, e) of repeated starts in ranges whose anchor other ranges share.
+
+    ``kinds``: anchor, whole, n (ranges of that kind), doc_id, tag, lo, hi of one of them.
+    """
+    crowded = kinds.groupBy("anchor").agg((F.count("*") > GROUP).alias("crowded"))
+    by_doc = written(kinds.join(crowded, "anchor").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "n", "crowded", "lo", "hi")).alias("found")))
     # Equal rows would come twice; then n > 1 for all their ranges, and nothing hangs on the count.
-    joined = base.join(small_or_shuffled(right, n, 160), same_doc(base, right))
+    texts = beside_texts(docs, by_doc, "found")
+    few, many = (texts.withColumn("found", F.expr(f"filter(found, x -> x.crowded = {c})")).filter(F.size("found") > 0) for c in ("false", "true"))
+    return gathered(few, length, q).unionByName(counted(many, length))
+
+
+def gathered(texts: DataFrame, length: int, q: int) -> DataFrame:
+    """Runs of repeated starts, the ranges of one anchor in one task (at most ``GROUP``)."""
+    import pandas as pd
 
     def setup():
         def kernel(ids, tags, texts, found):
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in range(6)]
             for i, tag, text, entries in zip(ids, tags, texts, found):
                 data = encoded(text)
                 for x in entries:
-                    first, second = start_ids(data, x["lo"], x["hi"], length)
-                    if x["parts"] == 1:  # the starts are those from lo on
-                        rows = [(x["anchor"], 0, i, tag, x["n"] == 1, x["lo"], first.tobytes(), second.tobytes(), None)]
-                    else:
-                        part = (first.view(np.uint64) % np.uint64(x["parts"])).astype(np.int64)
-                        places = np.arange(x["lo"], x["hi"] + 1, dtype=np.int32)
-                        rows = [(x["anchor"], p, i, tag, x["n"] == 1, x["lo"], first[at].tobytes(), second[at].tobytes(), places[at].tobytes()) for p in np.unique(part).tolist() for at in (part == p,)]
-                    for row in rows:
-                        for column, value in zip(out, row):
-                            column.append(value)
+                    for column, value in zip(out, (x["anchor"], i, tag, x["n"] == 1, x["lo"], data[x["lo"] : x["hi"] + length])):
+                        column.append(value)
             return out
 
         return kernel
 
-    rows = arrow_map(joined, ["doc_id", "tag", "text", "found"], "anchor long, part long, doc_id long, tag int, single boolean, lo int, first binary, second binary, places binary", setup, 64)
-    dealt = rows.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    rows = arrow_map(texts, ["doc_id", "tag", "text", "found"], "anchor long, doc_id long, tag int, single boolean, lo int, bytes binary", setup, 64)
+    dealt = rows.repartition("anchor").sortWithinPartitions("anchor")
 
-    def flush(held: list) -> pd.DataFrame | None:
+    def flush(held: list) -> list[tuple]:
         if len(held) < 2:
-            return None
-        first = np.concatenate([np.frombuffer(r.first, np.int64) for r in held])
-        second = np.concatenate([np.frombuffer(r.second, np.int64) for r in held])
-        sizes = [len(r.first) // 8 for r in held]
-        order = np.lexsort((second, first))  # the refinement: by bucket, then by bucket at the later offset
-        f, s = first[order], second[order]
-        same = (f[1:] == f[:-1]) & (s[1:] == s[:-1])
-        again = np.zeros(len(f), bool)
-        again[order[1:][same]] = True
-        again[order[:-1][same]] = True
-        out, at = [], 0
-        for r, n in zip(held, sizes):
-            flags = again[at : at + n]
-            at += n
-            if r.single and flags.any():
-                places = np.flatnonzero(flags) + r.lo if r.places is None else np.frombuffer(r.places, np.int32)[flags].astype(np.int64)
-                cut = np.flatnonzero(np.diff(places) > length) + 1
-                for part in np.split(places, cut):
-                    out.append((r.doc_id, r.tag, int(part[0]), int(part[-1]) + length))
-        return pd.DataFrame(out, columns=["doc_id", "tag", "s", "e"]) if out else None
+            return []
+        flags = repeated_starts([r.bytes for r in held], length, q)
+        return [(r.doc_id, r.tag, s, e) for r, f in zip(held, flags) if r.single for s, e in runs_of(f, r.lo)]
 
     def refine(batches):
-        held, key, pending = [], None, []
+        held, anchor = [], None
         for batch in batches:
+            done: list[tuple] = []
             for r in batch.itertuples(index=False):
-                if (r.anchor, r.part) != key:
-                    if (done := flush(held)) is not None:
-                        pending.append(done)
-                    held, key = [], (r.anchor, r.part)
+                if r.anchor != anchor:
+                    done += flush(held)
+                    held, anchor = [], r.anchor
                 held.append(r)
-            if pending:
-                yield pd.concat(pending)
-                pending = []
-        if (done := flush(held)) is not None:
-            yield done
+            if done:
+                yield pd.DataFrame(done, columns=["doc_id", "tag", "s", "e"])
+        if done := flush(held):
+            yield pd.DataFrame(done, columns=["doc_id", "tag", "s", "e"])
 
     return dealt.mapInPandas(refine, "doc_id long, tag int, s int, e int")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, tag, spans (sorted, disjoint; s and e in bytes) for the documents that lose bytes."""
-    every = written(all_ranges(docs, length))
+def counted(texts: DataFrame, length: int) -> DataFrame:
+    """Runs of repeated starts of crowded anchors: refined buckets are counted after partial
+    aggregation, so that no task holds all the members of one."""
+
+    def setup():
+        def kernel(ids, tags, texts, found):
+            out: list[list] = [[] for _ in range(6)]
+            for i, tag, text, entries in zip(ids, tags, texts, found):
+                data = encoded(text)
+                for x in entries:
+                    first, second = start_ids(data[x["lo"] : x["hi"] + length], length)
+                    for column, value in zip(out, ([i] * len(first), [tag] * len(first), [x["n"] == 1] * len(first), range(x["lo"], x["hi"] + 1), first.tolist(), second.tolist())):
+                        column.extend(value)
+            return out
+
+        return kernel
+
+    rows = written(arrow_map(texts, ["doc_id", "tag", "text", "found"], "doc_id long, tag int, single boolean, s int, first long, second long", setup, 16))
+    again = written(rows.groupBy("first", "second").agg(F.count("*").alias("n")).filter("n > 1").select("first", "second"))
+    return rows.filter("single").join(small_or_shuffled(again, again.count(), 24), ["first", "second"], "left_semi").select("doc_id", "tag", "s", F.col("s").alias("e"))
+
+
+def level_runs(docs: DataFrame, texts: DataFrame, length: int, q: int, before: int) -> DataFrame:
+    """doc_id, tag, spans: sorted runs (first and last) of the starts whose string of ``length``
+    bytes is repeated, for the documents that have any."""
+    every = written(all_ranges(texts, length, q, before))
     shared = written(every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).filter("n > 1").select("anchor", (F.col("least") == F.col("most")).alias("alike")))
     candidates = written(every.join(small_or_shuffled(shared, shared.count(), 16), "anchor"))
-    certain = candidates.filter("alike").select("doc_id", "tag", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
+    certain = candidates.filter("alike").select("doc_id", "tag", F.col("lo").alias("s"), F.col("hi").alias("e"))
     kinds = written(
         candidates.filter("NOT alike")
         .groupBy("anchor", "whole")
@@ -273,19 +353,27 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .select("anchor", "whole", "n", "one.*")
     )
     several = kinds.filter("n > 1").select("anchor", "whole")
-    also = candidates.filter("NOT alike").join(several, ["anchor", "whole"], "left_semi").select("doc_id", "tag", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    spans = certain.unionByName(also)
-    partly = refined(docs, kinds, length)
-    if partly is not None:
-        spans = spans.unionByName(partly)
+    also = candidates.filter("NOT alike").join(several, ["anchor", "whole"], "left_semi").select("doc_id", "tag", F.col("lo").alias("s"), F.col("hi").alias("e"))
+    spans = certain.unionByName(also).unionByName(refined(docs, kinds, length, q))
     return spans.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
-def merged(spans: list) -> list[tuple[int, int]]:
-    """Sorted spans with touching and overlapping ones joined."""
+def repeated_runs(docs: DataFrame, length: int = LENGTH) -> list[tuple[int, DataFrame]]:
+    """String length and ``level_runs`` of each level; each goes on from the runs of the one before."""
+    out: list[tuple[int, DataFrame]] = []
+    texts, before = keyed(docs).withColumn("spans", F.lit(None).cast(SPANS)), 0
+    for size, q in levels(length):
+        runs = written(level_runs(docs, texts, size, q, before))
+        out.append((size, runs))
+        texts, before = beside_texts(docs, runs, "spans"), size
+    return out
+
+
+def merged(spans: list, length: int) -> list[tuple[int, int]]:
+    """The bytes that strings at sorted runs of starts cover: disjoint spans, end exclusive."""
     out: list[tuple[int, int]] = []
     for x in spans or ():
-        s, e = x["s"], x["e"]
+        s, e = x["s"], x["e"] + length
         if out and s <= out[-1][1]:
             if e > out[-1][1]:
                 out[-1] = (out[-1][0], e)
@@ -303,35 +391,40 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, tag, text, spans (null where nothing goes) for every row."""
-    found = written(repeated_spans(docs, length))
-    n = found.count()
-    right, base = renamed(found), keyed(docs)
-    return base.join(small_or_shuffled(right, n, 160), same_doc(base, right), "left").select("doc_id", "text", "spans")
+    """doc_id, tag, text, half (runs of repeated strings of half the length) and spans (of the
+    length), null where there are none, for every row."""
+    (_, half), (_, whole) = repeated_runs(docs, length)
+    both = written(half.withColumnRenamed("spans", "half").join(whole, (half["doc_id"].eqNullSafe(whole["doc_id"])) & (half["tag"] == whole["tag"]), "left").select(half["doc_id"], half["tag"], "half", "spans"))
+    return beside_texts(docs, both, "half", "left").select("doc_id", "text", "half", "spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id and text without the repeated bytes (characters cut apart become U+FFFD), every row."""
 
     def setup():
-        return lambda ids, texts, spans: (ids, [without(encoded(t), merged(s)).decode("utf-8", "replace") if s else t for t, s in zip(texts, spans)])
+        return lambda ids, texts, spans: (ids, [without(encoded(t), merged(s, length)).decode("utf-8", "replace") if s else t for t, s in zip(texts, spans)])
 
     return arrow_map(with_spans(docs, length), ["doc_id", "text", "spans"], "doc_id long, text string", setup)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes removed from every document and the digest of what remains."""
+    """Bytes removed from every document and the digest of what remains; besides, the longer of the
+    two lengths judged (200 and 400 bytes) at which the document repeats anything (0 for none), and
+    its bytes in repeated strings of 200."""
+    half = levels(LENGTH)[0][0]
 
     def setup():
-        def kernel(ids, texts, spans):
-            out: list[list] = [[] for _ in range(4)]
-            for text, found in zip(texts, spans):
-                data, runs = encoded(text), merged(found)
-                for column, value in zip(out, (len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(without(data, runs)).hexdigest())):
+        def kernel(ids, texts, halves, spans):
+            out: list[list] = [[] for _ in range(6)]
+            for text, shorter, found in zip(texts, halves, spans):
+                data, runs = encoded(text), merged(found, LENGTH)
+                short = sum(e - s for s, e in merged(shorter, half))
+                row = (len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(without(data, runs)).hexdigest(), LENGTH if runs else half if short else 0, short)
+                for column, value in zip(out, row):
                     column.append(value)
             return [ids, *out]
 
         return kernel
 
     docs = read(spark, sf_dir, "documents")
-    return arrow_map(with_spans(docs), ["doc_id", "text", "spans"], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", setup)
+    return arrow_map(with_spans(docs), ["doc_id", "text", "half", "spans"], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_repeat int, n_in_repeats_200 long", setup)

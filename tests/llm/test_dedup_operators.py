@@ -115,13 +115,39 @@ def test_long_texts_in_parts(monkeypatch):
     assert starts(whole) == starts(parts) == list(range(5000 - 39))
 
 
+@pytest.mark.parametrize("length,q", [(12, 1), (12, 3), (12, 6), (13, 3), (40, 5), (40, 20)])
+def test_refinement_of_starts(length, q):
+    rng = random.Random(length + q)
+    pieces = ["".join(rng.choice("ab") for _ in range(rng.randint(length, 3 * length))).encode() for _ in range(30)]
+    pieces += [pieces[0], pieces[1][3:] + pieces[2]]
+    count = collections.Counter(p[i : i + length] for p in pieces for i in range(len(p) - length + 1))
+    for p, flags in zip(pieces, suffix_dedup.repeated_starts(pieces, length, q)):
+        assert flags.tolist() == [count[p[i : i + length]] > 1 for i in range(len(p) - length + 1)]
+
+
+@pytest.mark.parametrize("length", [50, 100, 200, 400])
+def test_runs_of_both_levels(spark, length):
+    rng = random.Random(length)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(length + 60)
+    texts = [text(rng.randint(0, 3 * length)) + shared[rng.randint(0, length) : rng.randint(length // 2, len(shared))] + text(rng.randint(0, length)) for _ in range(30)]
+    for size, runs in suffix_dedup.repeated_runs(docs(spark, list(enumerate(texts))), length):
+        count = collections.Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
+        found = {r["doc_id"]: {i for s, e in suffix_dedup.joined_runs(r["spans"]) for i in range(s, e + 1)} for r in runs.collect()}
+        for n, t in enumerate(texts):
+            assert found.get(n, set()) == {i for i in range(len(t) - size + 1) if count[t[i : i + size]] > 1}
+
+
 def test_substring_query_against_brute_force(spark):
     truth = {i: t.encode() for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet'").fetchall()}
     want = dict(zip(truth, covered(list(truth.values()), 400)))
+    half = dict(zip(truth, covered(list(truth.values()), 200)))
     for r in suffix_dedup.op8_suffix_dedup(spark, SMALL).collect():
         i = r["doc_id"]
         assert r["kept_sha256"] == hashlib.sha256(want[i]).hexdigest()
         assert (r["n_bytes"], r["n_removed"]) == (len(truth[i]), len(truth[i]) - len(want[i]))
+        assert r["n_in_repeats_200"] == len(truth[i]) - len(half[i])
+        assert r["longest_repeat"] == (400 if len(want[i]) < len(truth[i]) else 200 if len(half[i]) < len(truth[i]) else 0)
 
 
 def test_substring_edges(spark):
