@@ -1,11 +1,12 @@
 """Exact line deduplication, native: DataFrame functions only.
 
 Lines become 128-bit hashes of their keys. The hashes are range-partitioned with the document as
-a further column, so that a very frequent line is spread over many ranges. Aggregation takes the
-place of a secondary sort and of streaming first occurrences: each range is reduced to its distinct
-pairs of hash and document, and those to one row a hash with the number of documents and the
-largest document, which keeps the line. Decisions come back as compressed bitmaps, one
-row a document that loses lines, with an entry for each word of 64 lines in which a line goes.
+a further column, so that a very frequent line is spread over many ranges, and each range is sorted
+by hash, then document and position. Streaming over that order, the first line of each document
+stays and those that repeat it are passed over; the first occurrences of a hash give the number of
+its documents and the largest document, which keeps the line, one row a range and hash before they
+are shuffled. Decisions come back as compressed bitmaps, one row a document that loses lines, with
+an entry for each word of 64 lines in which a line goes.
 
 Defined cases: a null or empty text is one empty line; ties (one line several times in the keeping
 document) all stay there; a null doc_id counts as smaller than any; rows that repeat a doc_id count
@@ -15,7 +16,7 @@ empty table gives no rows. Only the id and the text are read (``drop_lines`` kee
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import read, small_or_shuffled, written
@@ -44,17 +45,22 @@ def hashed_lines(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     return keyed.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def repeated(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """h1, h2, keeper for the hashes found in at least ``min_docs`` documents.
+def first_occurrences(lines: DataFrame) -> DataFrame:
+    """h1, h2, doc_id of the first line of each hash in each document.
 
-    A document counts once, since pairs of hash and document are made distinct first. Ranges are
-    by (h1, h2, doc_id), so equal pairs stay together and need no further shuffle; nothing is
-    sorted.
+    Ranges are by hash and document; rows of one hash and document lie in one range, so numbering
+    them in the order of position needs neither another shuffle nor another sort.
     """
-    ranged = lines.select("h1", "h2", "doc_id").repartitionByRange(F.col("h1"), F.col("h2"), F.col("doc_id").desc_nulls_last())
-    once = ranged.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("seen"))
+    ranged = lines.select("h1", "h2", "doc_id", "pos").repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
+    run = Window.partitionBy("h1", "h2", "doc_id").orderBy("pos")
+    return ranged.withColumn("nth", F.row_number().over(run)).filter("nth = 1").select("h1", "h2", "doc_id")
+
+
+def repeated(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """h1, h2, keeper for the hashes found in at least ``min_docs`` documents."""
     return (
-        once.groupBy("h1", "h2")
+        first_occurrences(lines)
+        .groupBy("h1", "h2")
         .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
         .select("h1", "h2", "keeper")
@@ -82,12 +88,21 @@ def keep_bitmaps(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int =
     return words
 
 
+def dense(words: Column) -> Column:
+    """Bits of all words up to the last one listed; words that are missing keep all their lines.
+    Each entry is preceded by as many full words as it is further than the entry before."""
+    before = F.concat(F.array(F.lit(-1)), F.transform(words, lambda x: x["word"]))
+    filled = F.zip_with(words, before, lambda x, w: F.when(x.isNull(), F.array().cast("array<bigint>")).otherwise(F.concat(F.array_repeat(F.lit(-1).cast("bigint"), x["word"] - w - 1), F.array(x["keep"]))))
+    return F.flatten(filled)
+
+
 def kept_lines(text: Column, words: Column) -> Column:
-    """The lines that the bitmap keeps, joined again."""
-    by_word = F.map_from_entries(words)
-    bit = lambda i: F.coalesce(F.try_element_at(by_word, F.shiftright(i, 6)), F.lit(-1).cast("bigint"))
-    stays = lambda _, i: F.getbit(bit(i), i.bitwiseAND(F.lit(63))) == 1
-    return F.array_join(F.filter(F.split(text, "\n", -1), stays), "\n")
+    """The lines that the bitmap keeps, joined again; linear in the text and the bitmap."""
+    places = F.sequence(F.lit(0), F.lit(63))
+    flags = F.flatten(F.transform(dense(words), lambda w: F.transform(places, lambda b: F.getbit(w, b) == 1)))
+    # Lines beyond the last word listed have no flag and stay; flags beyond the last line have none.
+    stay = F.zip_with(F.split(text, "\n", -1), flags, lambda line, flag: F.when(F.coalesce(flag, F.lit(True)), line))
+    return F.array_join(stay, "\n")
 
 
 def with_bitmaps(docs: DataFrame, **options) -> DataFrame:

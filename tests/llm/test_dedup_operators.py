@@ -57,6 +57,21 @@ def test_lines_with_null_and_repeated_ids(spark):
     assert [(w["word"], w["keep"]) for w in words] == [(1, ~(1 << 6))]
 
 
+def test_texts_of_very_many_lines(spark):
+    """Bitmaps are applied in one pass, with gaps between their words."""
+    rng = random.Random(4)
+    texts = [(i, "\n".join(LONG if rng.random() < 0.01 else f"own line {i} {k}" for k in range(40_000 if i == 2 else 500))) for i in range(6)]
+    found = sorted((r["doc_id"], r["text"]) for r in line_dedup.drop_lines(docs(spark, texts)).collect())
+    assert found == sorted(lines_by_hand(texts))
+
+
+def test_first_occurrences_are_streamed(spark):
+    """One shuffle by range, one sort by hash, document and position, and a running number."""
+    plan = line_dedup.first_occurrences(line_dedup.hashed_lines(docs(spark, [(1, LONG)])))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(h1" in plan and "hashpartitioning" not in plan
+    assert plan.count("Sort [h1") == 1 and "pos" in plan[plan.index("Sort [h1") :].split("]")[0]
+
+
 def test_line_query_equals_sql(spark):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
