@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Each language gets a raw-content zstandard dictionary cut from labelled texts. A text is cut into
+Each language gets a raw-content zstandard dictionary of whole labelled texts. A text is cut into
 blocks, each block is compressed once with every dictionary, and the language whose dictionary
 gives the fewest bytes in all wins. A narrow margin between the best two is rejected.
 
@@ -26,14 +26,11 @@ SPACES = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Languages, the most sampled first, and a dictionary's bytes for each. Texts of up to
-    ``short_bytes`` are compressed at ``short_level``, which finds shorter matches."""
+    """Languages, the most sampled first, and a dictionary's bytes for each."""
 
     langs: tuple[str, ...]
     dictionaries: tuple[bytes, ...]
-    level: int = 6
-    short_level: int = 12
-    short_bytes: int = 1024
+    level: int = 9
     block_bytes: int = 4096
     min_margin: float = 0.01
 
@@ -44,24 +41,23 @@ def normalized(text: str) -> bytes:
     return SPACES.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
-def fit(
-    docs: DataFrame,
-    docs_per_lang: int = 384,
-    slice_bytes: int = 1024,
-    dictionary_bytes: int = 65536,
-    **options,
-) -> LanguageModel:
-    """Cut dictionaries from a bounded sample of ``docs`` (doc_id, text, lang).
+def fit(docs: DataFrame, docs_per_lang: int = 48, **options) -> LanguageModel:
+    """Make dictionaries of a bounded sample of ``docs`` (doc_id, text, lang).
 
-    The sample is, for each language, the ``docs_per_lang`` documents whose hashed id is least
-    (read first by id and language alone), with repeated texts taken once. Each gives at most
-    ``slice_bytes`` from its middle; ``dictionary_bytes`` bounds a dictionary, so a model's size
-    depends on the number of languages only. Scoring reads whole texts.
+    The sample is, for each language, the ``docs_per_lang`` documents whose hashed id is least,
+    with repeated texts taken once; they are used whole. A count by language first gives the hash
+    below which about twice as many lie, so that ranking sees a bounded number of rows however
+    many documents a language has.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # Uniform from 0 to 1; a part of the documents lies below each share of it.
+    rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
+    rows = known.select("doc_id", "lang", rank.alias("rank"))
+    shares = rows.groupBy("lang").agg(((2 * docs_per_lang + 64) / F.count("*")).alias("share"))
     order = Window.partitionBy("lang").orderBy("rank", "doc_id")
     chosen = (
-        known.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("rank"))
+        rows.join(shares, "lang")
+        .filter("rank < share")
         .withColumn("n", F.row_number().over(order))
         .filter(F.col("n") <= docs_per_lang)
         .select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang"), "rank")
@@ -69,38 +65,33 @@ def fit(
     # At most docs_per_lang rows a language: bounded by the parameter, not by the data.
     sample = (
         known.join(F.broadcast(chosen), F.expr("doc_id <=> chosen_id AND lang = chosen_lang"))
-        .select("lang", "rank", F.substring("text", F.greatest(F.lit(1), (F.length("text") / 2 - slice_bytes // 2).cast("int")), F.lit(slice_bytes)).alias("cut"))
-        .dropDuplicates(["lang", "cut"])
-        .orderBy("lang", "rank")
+        .select("lang", "rank", "text")
+        .dropDuplicates(["lang", "text"])
+        .orderBy("lang", "rank", "text")
         .collect()
     )
     parts: dict[str, list[bytes]] = {}
     for row in sample:
-        parts.setdefault(row["lang"], []).append(normalized(row["cut"]))
+        parts.setdefault(row["lang"], []).append(normalized(row["text"]))
     langs = tuple(sorted(parts, key=lambda x: (-len(parts[x]), x)))
-    return LanguageModel(langs, tuple(b" ".join(parts[x])[-dictionary_bytes:] for x in langs), **options)
+    return LanguageModel(langs, tuple(b" ".join(parts[x]) for x in langs), **options)
 
 
 def classifier(model: LanguageModel):
     """A function from a text to (language, score, rejected)."""
     import zstandard
 
-    def makers_at(level: int) -> list:
-        made = []
-        for data in model.dictionaries:
-            content = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=level)
-            made.append(zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-        return made
-
-    usual, short = makers_at(model.level), makers_at(model.short_level)
+    makers = []
+    for data in model.dictionaries:
+        content = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        content.precompute_compress(level=model.level)
+        makers.append(zstandard.ZstdCompressor(level=model.level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
     step, langs, margin = model.block_bytes, model.langs, model.min_margin
 
     def classify(text: str | None) -> tuple[str, float, bool]:
         if not text or not langs or not LETTER.search(text):
             return "und", 0.0, True
         data = normalized(text)
-        makers = short if len(data) <= model.short_bytes else usual
         blocks = [data] if len(data) <= step else [data[i : i + step] for i in range(0, len(data), step)]
         sizes = [sum(len(make(b)) for b in blocks) for make in makers]
         best = min(range(len(sizes)), key=sizes.__getitem__)
