@@ -5,9 +5,10 @@ Documents become sets of n-gram indicators. Each indicator is scaled by its clas
 model is fitted on the scaled indicators by dual coordinate descent. A logistic curve fitted on
 held-back margins turns margins into scores.
 
-The n-grams are over word *shapes* (case pattern, digits, punctuation, repetition), which carry
-over to unseen words and other languages; shares of a shape in its document enter as banded
-indicators.
+The n-grams are words and pairs of words (in lower case), and word *shapes* (case pattern, digits,
+punctuation, repetition) and pairs of them, which carry over to unseen words and other languages;
+shares of a shape in its document enter as banded indicators. Indicators that fewer than
+``min_docs`` labelled documents have are counted and left out on the executors.
 
 Defined cases: null and empty texts have the single indicator ``empty``; repeated rows are scored
 alike; if the labelled rows hold a single class or none, every score is that class's share (0.5
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, held_out, read
+from millrace.llm.common import arrow_map, held_out, read, written
 
 WORD = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.DOTALL)
 
@@ -94,6 +95,9 @@ def features(text: str | None, shapes: Shapes) -> set[str]:
         out.add(f"1%:{s}:{band(k / n)}")
     for a, b in set(zip(seq, seq[1:])):
         out.add(f"2:{a} {b}")
+    plain = text.lower().split()
+    out.update(plain)
+    out.update(map("{} {}".format, plain, plain[1:]))
     doubled = sum(again)
     tripled = sum(map(operator.and_, again[1:], again))
     out.add(f"r2:{band(doubled / n) if doubled else 7}")
@@ -146,18 +150,12 @@ def logistic_fit(margin: np.ndarray, label: np.ndarray, steps: int = 200) -> tup
     return max(a, 1e-6), b
 
 
-def fit_rows(sets: list[list[str]], labels: list[int], cost: float = 0.1, epochs: int = 30, min_docs: int = 2, smoothing: float = 1.0, folds: int = 4, seed: int = 7) -> QualityModel:
-    """Fit on indicator sets and 0/1 labels."""
+def fit_rows(names: list[str], rows: list[np.ndarray], labels: list[int], cost: float = 0.1, epochs: int = 20, smoothing: float = 1.0, folds: int = 4, seed: int = 7) -> QualityModel:
+    """Fit on the numbers of each document's indicators (by ``names``) and 0/1 labels."""
     y = np.where(np.array(labels, dtype=int) > 0, 1.0, -1.0) if labels else np.zeros(0)
     if len(set(y.tolist())) < 2:
         return QualityModel(constant=float(np.mean(y > 0)) if len(y) else 0.5)
-    docs: dict[str, int] = {}
-    for x in sets:
-        for f in x:
-            docs[f] = docs.get(f, 0) + 1
-    index = {f: i for i, f in enumerate(sorted(f for f, n in docs.items() if n >= min_docs))}
-    rows = [np.array(sorted(index[f] for f in x if f in index), dtype=np.int64) for x in sets]
-    size = len(index) + 1
+    size = len(names) + 1
 
     def train(keep: np.ndarray) -> np.ndarray:
         p, q = np.full(size, smoothing), np.full(size, smoothing)
@@ -186,12 +184,13 @@ def fit_rows(sets: list[list[str]], labels: list[int], cost: float = 0.1, epochs
             margins[i] = margin(w, i)
     slope, shift = logistic_fit(margins, y)
     w = train(np.ones(len(y), dtype=bool))
-    return QualityModel({f: float(w[i]) for f, i in index.items() if w[i]}, float(w[-1]), slope, shift)
+    return QualityModel({f: float(x) for f, x in zip(names, w) if x}, float(w[-1]), slope, shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, **options) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, min_docs: int = 3, **options) -> QualityModel:
     """Fit on at most ``max_docs`` labelled documents, those whose hashed id is least; the bound
-    keeps the driver's part alike at any corpus size. Indicators are made on the executors."""
+    keeps the driver's part alike at any corpus size. Indicators are made and counted on the
+    executors; the driver gets the common ones' names and each document's numbers."""
     chosen = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -206,9 +205,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 8000, **options) ->
         shapes = Shapes()
         return lambda ids, quality, texts: (ids, quality, [sorted(features(t, shapes)) for t in texts])
 
-    got = arrow_map(sample, [F.col("doc_id").cast("bigint"), "quality", "text"], "doc_id long, quality int, found array<string>", setup).collect()
-    got.sort(key=lambda r: (r["doc_id"], r["found"]))
-    return fit_rows([r["found"] for r in got], [r["quality"] for r in got], **options)
+    made = written(arrow_map(sample, [F.col("doc_id").cast("bigint").alias("doc_id"), "quality", "text"], "doc_id long, quality int, found array<string>", setup))
+    common = made.select(F.explode("found").alias("name")).groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+    names = sorted(r["name"] for r in common.select("name").collect())
+    shared = docs.sparkSession.sparkContext.broadcast(names)
+
+    def numbering():
+        number = {name: i for i, name in enumerate(shared.value)}
+        return lambda ids, quality, found: (ids, quality, [np.array(sorted(number[f] for f in x if f in number), "<i4").tobytes() for x in found])
+
+    got = arrow_map(made, ["doc_id", "quality", "found"], "doc_id long, quality int, numbers binary", numbering).collect()
+    got.sort(key=lambda r: (r["doc_id"], bytes(r["numbers"])))
+    return fit_rows(names, [np.frombuffer(r["numbers"], "<i4").astype(np.int64) for r in got], [r["quality"] for r in got], **options)
 
 
 def scorer(model: QualityModel):
