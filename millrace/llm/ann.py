@@ -1,18 +1,24 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-A vector's residual to its nearest centroid is made a unit vector and rotated at random; its code is
-the packed signs. With two correction scalars, the residual's length and the inner product of the
-code with what it stands for, inner products with a rotated query are estimated without bias, and
-a bound on the estimate's error follows. A vector is compared exactly only if the lower bound of
-its distance does not exceed the tenth distance found so far.
-
-Centroids come from a bounded sample; every row is indexed. Queries go to the executors in blocks
-of bounded size against all codes; a task returns at most k rows a query.
-
-Defined cases: vectors that are null, zero, or hold null or non-finite components, vectors of
-another dimension than most of the sample, and rows with a null id take no part; ties go to the
-smaller id; the query's own id is never found; with fewer candidates than k all are found; an
-empty table gives no rows. Columns besides id and vector are not read.
+A vector's residual to its nearest centroid is made a unit vector, padded to the code's length and
+rotated at random; its code is the packed signs. Two correction scalars, the residual's length and
+the inner product of the code with what it stands for, turn the code's inner product with a query
+into an estimate without bias, with a bound on its error. Queries are rounded to eight bits, so
+that the inner product with packed bits is a sum of population counts. A vector is compared exactly
+only if the lower bound of its distance does not exceed the k-th distance known.
+
+Centroids come from a bounded sample; every row is indexed, in groups by centroid that are dealt
+into parts of bounded size. A query first probes the nearest centroids that hold k vectors. The
+k-th distance found there decides which other centroids it must probe: all whose vectors can be as
+near by the centroid's radius. Both probes are one shuffle by group, in which a task holds one
+part's codes and lets the queries stream by; nothing is sent from or to the driver but the model.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components and rows with a
+null id take no part; vectors are compared with those of their own dimension, each dimension having
+its own model; ties go to the smaller id; the query's own id is never found; of queries that repeat
+an id the least vector is asked, and candidates that repeat an id are found each; with fewer
+candidates than k all are found; an empty table gives no rows. Columns besides id and vector are
+not read.
 """
 
 from __future__ import annotations
@@ -24,30 +30,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read
+from millrace.llm.common import read, written
 
-#: Queries sent to the executors at once (8 bytes a component each).
-QUERY_BLOCK = 8192
+#: Least length of a code in bits; longer codes of short vectors have smaller errors.
+CODE_BITS = 256
+#: Codes that one task holds at once.
+PART = 8192
+#: Bits to which a rotated query is rounded.
+QUERY_BITS = 8
+#: Pairs estimated at once.
+PAIRS = 1 << 20
 
 
 @dataclass(frozen=True)
 class Coder:
-    """Rotation and centroids; both are small and independent of the number of rows."""
+    """Rotation and centroids of one dimension, and the number of its first centroid."""
 
     rotation: np.ndarray
     centroids: np.ndarray
-    rotated: np.ndarray
+    first: int
+
+    def gaps(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances to the centroids."""
+        return np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ self.centroids.T + (self.centroids**2).sum(1)[None, :])
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Centroid number, packed signs, length of the residual, and code's inner product."""
-        d = x.shape[1]
-        gap = (x * x).sum(1)[:, None] - 2 * x @ self.centroids.T + (self.centroids**2).sum(1)[None, :]
-        near = gap.argmin(1)
+        """Centroid number, packed signs (64-bit words), length of the residual, and the code's
+        inner product with the rotated unit residual."""
+        near = self.gaps(x).argmin(1)
         residual = x - self.centroids[near]
         length = np.sqrt((residual * residual).sum(1))
         unit = np.divide(residual, length[:, None], out=np.zeros_like(residual), where=length[:, None] > 0) @ self.rotation.T
-        inner = np.abs(unit).sum(1) / np.sqrt(d)
-        return near.astype(np.int32), np.packbits(unit > 0, axis=1), length, np.where(inner > 0, inner, 1.0)
+        inner = np.abs(unit).sum(1) / np.sqrt(unit.shape[1])
+        return near, packed(unit > 0), length, np.where(inner > 0, inner, 1.0)
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    """The last axis (a multiple of 64 long) as 64-bit words."""
+    return np.packbits(bits, axis=-1).view(np.uint64)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -57,130 +77,210 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
 
 
-def fit(vectors: DataFrame, sample_rows: int = 4096, n_centroids: int = 16, rounds: int = 8, seed: int = 5) -> Coder | None:
-    """Random rotation, and k-means centroids of the ``sample_rows`` rows whose hashed id is least."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
-    if not rows:
-        return None
-    sizes = [len(r["embedding"]) for r in rows]
-    d = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    x = np.array([r["embedding"] for r in rows if len(r["embedding"]) == d])
-    rng = np.random.default_rng(seed)
-    rotation, triangle = np.linalg.qr(rng.standard_normal((d, d)))
-    rotation = rotation * np.sign(np.diag(triangle))
-    centroids = x[rng.choice(len(x), min(n_centroids, len(x)), replace=False)]
-    for _ in range(rounds):
-        near = ((x * x).sum(1)[:, None] - 2 * x @ centroids.T + (centroids**2).sum(1)[None, :]).argmin(1)
-        centroids = np.array([x[near == k].mean(0) if (near == k).any() else c for k, c in enumerate(centroids)])
-    return Coder(rotation, centroids, centroids @ rotation.T)
+def fit(vectors: DataFrame, sample_rows: int = 4096, n_centroids: int = 64, rounds: int = 8, seed: int = 5) -> dict[int, Coder]:
+    """A coder for each dimension: a random rotation, and k-means centroids of a sample of about
+    ``sample_rows`` rows by hashed id."""
+    sizes = {r["d"]: r["n"] for r in vectors.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
+    out: dict[int, Coder] = {}
+    first = 0
+    for d, n in sorted(sizes.items()):
+        rank = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) / float(1 << 40)
+        rows = vectors.filter((F.size("embedding") == d) & (rank <= sample_rows / n)).orderBy(rank, "vec_id").limit(2 * sample_rows).collect()
+        if not rows:
+            rows = vectors.filter(F.size("embedding") == d).limit(sample_rows).collect()
+        x = np.array([r["embedding"] for r in rows])
+        bits = max(CODE_BITS, -(-d // 64) * 64)
+        rng = np.random.default_rng(seed)
+        rotation, triangle = np.linalg.qr(rng.standard_normal((bits, d)))
+        centroids = x[rng.choice(len(x), min(n_centroids, max(1, len(x) // 16)), replace=False)]
+        for _ in range(rounds):
+            near = Coder(rotation, centroids, 0).gaps(x).argmin(1)
+            centroids = np.array([x[near == k].mean(0) if (near == k).any() else c for k, c in enumerate(centroids)])
+        out[d] = Coder(rotation * np.sign(np.diag(triangle)), centroids, first)
+        first += len(centroids)
+    return out
 
 
 def matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def build_index(vectors: DataFrame, coder: Coder) -> DataFrame:
-    """vec_id, centroid, code, length, inner, embedding for every usable row of the dimension."""
-    shared, d = vectors.sparkSession.sparkContext.broadcast(coder), coder.centroids.shape[1]
+def by_dimension(batch: pa.RecordBatch, at: int):
+    """The parts of a batch whose vectors (column ``at``) have one dimension, with it."""
+    sizes = np.diff(batch.column(at).offsets.to_numpy())
+    for d in np.unique(sizes).tolist():
+        yield d, batch.take(pa.array(np.flatnonzero(sizes == d)))
+
+
+INDEX = "centroid int, vec_id long, code binary, length double, inner double, embedding array<double>"
+
+
+def build_index(vectors: DataFrame, coders: dict[int, Coder]) -> DataFrame:
+    """Written: ``INDEX`` for every row."""
+    shared = vectors.sparkSession.sparkContext.broadcast(coders)
 
     def run(batches):
+        for batch in batches:
+            for d, b in by_dimension(batch, 1) if batch.num_rows else ():
+                coder = shared.value[d]
+                near, code, length, inner = coder.encode(matrix(b.column(1), d))
+                centroid = pa.array((near + coder.first).astype(np.int32))
+                words = pa.array([row.tobytes() for row in code], pa.binary())
+                yield pa.RecordBatch.from_arrays([centroid, b.column(0), words, pa.array(length), pa.array(inner), b.column(1)], names=["centroid", "vec_id", "code", "length", "inner", "embedding"])
+
+    return written(vectors.mapInArrow(run, INDEX))
+
+
+def bounds(coder: Coder, centroid: int, codes: np.ndarray, length: np.ndarray, inner: np.ndarray, queries: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated squared distances of one centroid's codes to the queries, and their lower bounds."""
+    turned = (queries - coder.centroids[centroid]) @ coder.rotation.T
+    bits = turned.shape[1]
+    far = np.sqrt((turned * turned).sum(1))
+    low = turned.min(1)
+    step = np.maximum((turned.max(1) - low) / ((1 << QUERY_BITS) - 1), 1e-300)
+    rounded = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint16)
+    total = np.zeros((len(codes), len(queries)))
+    for j in range(QUERY_BITS):
+        plane = packed((rounded >> j & 1).astype(bool))
+        for w in range(codes.shape[1]):
+            total += np.bitwise_count(codes[:, w, None] & plane[None, :, w]) * float(1 << j)
+    ones = np.bitwise_count(codes).sum(1).astype(np.float64)
+    product = (2 * (total * step + ones[:, None] * low) - (rounded * step[:, None] + low[:, None]).sum(1)) / np.sqrt(bits)
+    estimate = length[:, None] ** 2 + far**2 - 2 * length[:, None] * product / inner[:, None]
+    # The code's error is that of its part at right angles; rounding a query adds about a step.
+    slack = far[None, :] * (epsilon * np.sqrt(np.maximum(0, 1 - inner**2) / max(1, bits - 1)))[:, None] + step[None, :]
+    return estimate, estimate - 2 * length[:, None] * slack / inner[:, None]
+
+
+def probe(coder: Coder, centroid: int, ids: np.ndarray, codes: np.ndarray, length: np.ndarray, inner: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, limits: np.ndarray, k: int, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Query number, place and distance of the pairs that may be among a query's k nearest (at most
+    k a query, and none beyond its limit), and how many pairs were compared exactly."""
+    estimate, lower = bounds(coder, centroid, codes, length, inner, queries, epsilon)
+    own = ids[:, None] == query_ids[None, :]
+    lower[own] = np.inf
+    estimate[own] = np.inf
+    compared = np.zeros(lower.shape, bool)
+    near = limits.copy()
+    open_ended = np.flatnonzero(np.isinf(limits))
+    if len(open_ended):
+        # The most promising ones give a first limit.
+        most = min(2 * k, len(ids))
+        first = np.argpartition(estimate[:, open_ended], most - 1, axis=0)[:most]
+        gap = np.sqrt(((x[first] - queries[open_ended][None]) ** 2).sum(2))
+        gap[np.isinf(np.take_along_axis(estimate[:, open_ended], first, 0))] = np.inf
+        if most >= k:
+            near[open_ended] = np.partition(gap, k - 1, axis=0)[k - 1]
+        compared[first, open_ended[None, :]] = True
+    place, who = np.nonzero((compared | (lower <= near[None, :] ** 2 * (1 + 1e-9))) & ~own)
+    score = np.empty(len(place))
+    for i in range(0, len(place), PAIRS // 16):
+        at = slice(i, i + PAIRS // 16)
+        score[at] = np.sqrt(((x[place[at]] - queries[who[at]]) ** 2).sum(1))
+    within = score <= near[who]
+    place, who, score, n = place[within], who[within], score[within], len(place)
+    order = np.lexsort((ids[place], score, who))
+    place, who, score = place[order], who[order], score[order]
+    nth = np.arange(len(who)) - np.searchsorted(who, who, side="left")
+    best = nth < k
+    return who[best], place[best], score[best], n
+
+
+#: Codes before the queries that stream by them.
+TAGGED = "centroid int, part int, asked boolean, vec_id long, code binary, length double, inner double, embedding array<double>"
+
+
+def probed(index: DataFrame, queries: DataFrame, parts: DataFrame, coders: dict[int, Coder], k: int, epsilon: float) -> DataFrame:
+    """query_id, vec_id, score: candidates from each part of the centroids that ``queries``
+    (centroid, vec_id, embedding, limit) name."""
+    shared = index.sparkSession.sparkContext.broadcast(coders)
+    # A row a centroid, and the number of centroids is bounded by the sample.
+    small = F.broadcast(parts.select("centroid", "parts"))
+    codes = index.join(small, "centroid").select("centroid", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asked"), "vec_id", "code", "length", "inner", "embedding")
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    asked = queries.join(small, "centroid").select("centroid", everywhere, F.lit(True).alias("asked"), "vec_id", F.lit(None).cast("binary").alias("code"), F.col("limit").alias("length"), F.lit(None).cast("double").alias("inner"), "embedding")
+    dealt = codes.unionByName(asked).repartition("centroid", "part").sortWithinPartitions("centroid", "part", "asked")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        group, block = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near, code, length, inner = shared.value.encode(matrix(batch.column(1), d))
-            packed = pa.array([row.tobytes() for row in code], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near), packed, pa.array(length), pa.array(inner), batch.column(1)], names=["vec_id", "centroid", "code", "length", "inner", "embedding"])
-
-    return vectors.filter(F.size("embedding") == d).mapInArrow(run, "vec_id long, centroid int, code binary, length double, inner double, embedding array<double>")
-
-
-class Search:
-    """The k nearest so far for a block of queries."""
-
-    def __init__(self, coder: Coder, ids: np.ndarray, queries: np.ndarray, k: int, epsilon: float):
-        self.coder, self.ids, self.queries, self.k, self.epsilon = coder, ids, queries, k, epsilon
-        self.found = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
-        self.limit = np.full(len(ids), np.inf)
-        turned = queries @ coder.rotation.T
-        self.residual = turned[:, None, :] - coder.rotated[None, :, :]
-        self.length = np.sqrt((self.residual**2).sum(2))
-
-    def add(self, ids, near, code, length, inner, x) -> None:
-        d = x.shape[1]
-        signs = (np.unpackbits(code, axis=1)[:, :d].astype(np.float64) * 2 - 1) / np.sqrt(d)
-        slack = self.epsilon * np.sqrt(np.maximum(0, 1 - inner**2)) / inner / np.sqrt(max(1, d - 1))
-        estimate = np.empty((len(ids), len(self.ids)))
-        spread = np.empty_like(estimate)
-        for c in np.unique(near):
-            at = near == c
-            # <o, q'> is estimated by <code, q'> / inner; q' keeps its length here.
-            product = (signs[at] @ self.residual[:, c, :].T) / inner[at][:, None]
-            estimate[at] = length[at][:, None] ** 2 + self.length[None, :, c] ** 2 - 2 * length[at][:, None] * product
-            spread[at] = 2 * length[at][:, None] * self.length[None, :, c] * slack[at][:, None]
-        lower = estimate - spread
-        for j in range(len(self.ids)):
-            if not np.isfinite(self.limit[j]):
-                first = np.argpartition(estimate[:, j], min(2 * self.k, len(ids) - 1))[: 2 * self.k + 1]
-                self.exact(j, ids[first], x[first])
-                rest = np.ones(len(ids), bool)
-                rest[first] = False
-                chosen = np.flatnonzero(rest & (lower[:, j] <= self.limit[j] * (1 + 1e-9)))
-            else:
-                chosen = np.flatnonzero(lower[:, j] <= self.limit[j] * (1 + 1e-9))
-            if len(chosen):
-                self.exact(j, ids[chosen], x[chosen])
-
-    def exact(self, j: int, ids: np.ndarray, x: np.ndarray) -> None:
-        other = ids != self.ids[j]
-        gap = x[other] - self.queries[j]
-        score = np.concatenate([self.found[j][0], np.sqrt((gap * gap).sum(1))])
-        who = np.concatenate([self.found[j][1], ids[other]])
-        order = np.lexsort((who, score))[: self.k]
-        self.found[j] = (score[order], who[order])
-        if len(order) == self.k:
-            self.limit[j] = score[order[-1]] ** 2
-
-
-def search(index: DataFrame, queries: DataFrame, coder: Coder, k: int = 10, epsilon: float = 3.0) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found for each row of ``queries`` (vec_id,
-    embedding), in blocks of about ``QUERY_BLOCK`` queries against the whole index."""
-    spark, d = index.sparkSession, coder.centroids.shape[1]
-    asked = queries.filter(F.size("embedding") == d)
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = []
-    for block in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast((coder, np.array([r["vec_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64)))
-
-        def run(batches, shared=shared):
-            model, ids, points = shared.value
-            state = Search(model, ids, points, k, epsilon)
-            step = max(64, (1 << 21) // len(ids))
-            for batch in batches:
-                for start in range(0, batch.num_rows, step):
-                    b = batch.slice(start, step)
-                    code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                    state.add(b.column(0).to_numpy(), b.column(1).to_numpy(), code, b.column(3).to_numpy(), b.column(4).to_numpy(), matrix(b.column(5), d))
-            who = np.concatenate([np.full(len(f[0]), i) for i, f in zip(ids, state.found)]) if len(ids) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(who.astype(np.int64)), pa.array(np.concatenate([f[1] for f in state.found])), pa.array(np.concatenate([f[0] for f in state.found]))], names=["query_id", "vec_id", "score"])
-
-        parts.append(index.mapInArrow(run, "query_id long, vec_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int32)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                rows, now = batch.slice(a, b - a), tuple(keys[a, :2].tolist())
+                if now != group:
+                    held, group, block = [], now, None
+                if not keys[a, 2]:
+                    held.append(rows)
+                    continue
+                if not held:
+                    continue
+                if block is None:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    column = lambda n: t.column(n).chunk(0)  # noqa: E731,B023
+                    d = len(column(7)[0])
+                    block = (d, column(3).to_numpy(), np.frombuffer(b"".join(column(4).to_pylist()), np.uint64).reshape(len(t), -1), column(5).to_numpy(), column(6).to_numpy(), matrix(column(7), d))
+                d, ids, words, length, inner, x = block
+                coder, most = shared.value[d], max(1, PAIRS // len(ids))
+                for at in range(0, rows.num_rows, most):
+                    some = rows.slice(at, most)
+                    query_ids = some.column(3).to_numpy()
+                    who, place, score, _ = probe(coder, now[0] - coder.first, ids, words, length, inner, x, query_ids, matrix(some.column(7), d), some.column(5).to_numpy(), k, epsilon)
+                    if len(who):
+                        yield pa.RecordBatch.from_arrays([pa.array(query_ids[who]), pa.array(ids[place]), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def nearest(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def search(index: DataFrame, queries: DataFrame, coders: dict[int, Coder], k: int = 10, epsilon: float = 3.0) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found for each row of ``queries`` (vec_id,
+    embedding)."""
+    parts = written(index.groupBy("centroid").agg(F.count("*").alias("n"), F.max("length").alias("radius")).withColumn("parts", F.ceil(F.col("n") / PART).cast("int")))
+    # Bounded by the number of centroids.
+    groups = {r["centroid"]: (r["n"], r["radius"]) for r in parts.collect()}
+    shared = index.sparkSession.sparkContext.broadcast((coders, groups))
+
+    def routed(later: bool):
+        def run(batches):
+            models, sizes = shared.value
+            for batch in batches:
+                for d, b in by_dimension(batch, 1) if batch.num_rows and models else ():
+                    if d not in models:
+                        continue
+                    coder, x = models[d], matrix(b.column(1), d)
+                    count, radius = (np.array([sizes.get(coder.first + c, (0, 0.0))[i] for c in range(len(coder.centroids))]) for i in (0, 1))
+                    gap = np.sqrt(coder.gaps(x))
+                    order = np.argsort(gap, axis=1, kind="stable")
+                    # The nearest centroids that hold k vectors besides the query's own.
+                    before = np.cumsum(count[order], axis=1) - count[order]
+                    first = np.zeros(gap.shape, bool)
+                    np.put_along_axis(first, order, before <= k, axis=1)
+                    limit = b.column(2).to_numpy() if later else np.full(len(x), np.inf)
+                    chosen = first if not later else ~first & (gap - radius <= limit[:, None] * (1 + 1e-9))
+                    row, c = np.nonzero(chosen & (count > 0))
+                    taken = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array((c + coder.first).astype(np.int32)), b.column(0).take(taken), b.column(1).take(taken), pa.array(limit[row])], names=["centroid", "vec_id", "embedding", "limit"])
+
+        return run
+
+    schema = "centroid int, vec_id long, embedding array<double>, limit double"
+    asked = written(queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    near = written(nearest(probed(index, asked.mapInArrow(routed(False), schema), parts, coders, k, epsilon), k))
+    limits = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("score")).otherwise(float("inf")).alias("limit"))
+    again = asked.join(limits, asked["vec_id"] == limits["query_id"], "left").select("vec_id", "embedding", F.coalesce("limit", F.lit(float("inf"))).alias("limit"))
+    far = probed(index, again.mapInArrow(routed(True), schema), parts, coders, k, epsilon)
+    return nearest(near.select("query_id", "vec_id", "score").unionByName(far), k)
+
+
 def op3_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest of every row whose id is divisible by 100."""
     vectors = usable(read(spark, sf_dir, "embeddings"))
-    coder = fit(vectors)
-    if coder is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return search(build_index(vectors, coder), vectors.filter(F.col("vec_id") % 100 == 0), coder)
+    coders = fit(vectors)
+    return search(build_index(vectors, coders), vectors.filter(F.col("vec_id") % 100 == 0), coders)

@@ -331,21 +331,49 @@ def test_search_edges(spark):
     few = ann.usable(vectors(spark, [(0, [1.0, 2.0]), (1, [1.0, 2.5]), (1, [1.0, 2.5])]))
     coder = ann.fit(few)
     assert [tuple(r)[:3] for r in ann.search(ann.build_index(few, coder), few.filter("vec_id = 0"), coder).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 1)]
-    assert ann.fit(ann.usable(vectors(spark, [(0, None)]))) is None
+    none = ann.usable(vectors(spark, [(0, None)]))
+    assert ann.fit(none) == {}
+    assert ann.search(ann.build_index(none, {}), none, {}).count() == 0
+    # Every dimension has its own model; a vector alone in its dimension finds nothing.
+    mixed = ann.usable(vectors(spark, [(i, [float(i + 1)] * (2 + i % 2)) for i in range(9)] + [(10, [1.0] * 5)]))
+    coder = ann.fit(mixed)
+    found = ann.search(ann.build_index(mixed, coder), mixed.filter("vec_id IN (0, 1, 10)"), coder).toPandas().sort_values("rank")
+    assert list(found[found.query_id == 0].vec_id) == [2, 4, 6, 8] and list(found[found.query_id == 1].vec_id) == [3, 5, 7]
+    assert 10 not in set(found.query_id)
+
+
+@pytest.mark.parametrize("part", [64, 8192])
+def test_vector_query_against_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(ann, "PART", part)
+    table = duckdb.sql(f"SELECT vec_id, embedding FROM '{SMALL}/embeddings.parquet'").fetchall()
+    ids, x = np.array([i for i, _ in table]), np.array([v for _, v in table], float)
+    found = ann.op3_rotated_codes(spark, SMALL).toPandas()
+    assert set(found.query_id) == set(ids[ids % 100 == 0].tolist())
+    hits = 0
+    for q, got in found.groupby("query_id"):
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+        want = [int(ids[i]) for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        got = got.sort_values("rank")
+        assert list(got["rank"]) == list(range(1, 11))
+        assert np.allclose(got.score, [d[ids == v][0] for v in got.vec_id])
+        hits += len(set(want) & set(got.vec_id))
+    assert hits >= 0.9 * len(found)
 
 
 def test_error_bound_holds():
+    """Also with the query rounded to eight bits; and few pairs lie within it for nothing."""
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(500, 64))
-    coder = ann.Coder(np.linalg.qr(rng.normal(size=(64, 64)))[0], x[:4], np.zeros((4, 64)))
+    x, q = rng.normal(size=(2000, 64)), rng.normal(size=(20, 64))
+    coder = ann.Coder(np.linalg.qr(rng.normal(size=(256, 64)))[0], x[:1] * 0, 0)
     near, code, length, inner = coder.encode(x)
-    signs = (np.unpackbits(code, axis=1) * 2.0 - 1) / 8
-    q = rng.normal(size=64)
-    residual = (q - coder.centroids[near]) @ coder.rotation.T
-    estimate = (signs * residual).sum(1) / inner * length
-    exact = ((x - coder.centroids[near]) * (q - coder.centroids[near])).sum(1)
-    bound = 3 * np.sqrt(1 - np.minimum(1, inner**2)) / inner / np.sqrt(63) * length * np.linalg.norm(residual, axis=1)
-    assert (np.abs(estimate - exact) <= bound + 1e-9).mean() > 0.98
+    estimate, lower = ann.bounds(coder, 0, code, length, inner, q, 3.0)
+    exact = ((x[:, None] - q[None]) ** 2).sum(2)
+    assert (lower <= exact).mean() > 0.998
+    assert abs((estimate - exact).mean()) < 0.02 * exact.mean()
+    limits = np.sqrt(np.partition(exact, 9, axis=0)[9])
+    who, place, score, compared = ann.probe(coder, 0, np.arange(2000), code, length, inner, x, -np.arange(1, 21), q, np.full(20, np.inf), 10, 3.0)
+    assert sum(score <= limits[who] + 1e-9) >= 0.9 * 200 and len(who) == 200
+    assert compared < 0.25 * exact.size
 
 
 # --- audio ---
