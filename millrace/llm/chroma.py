@@ -2,12 +2,17 @@
 
 A recording (WAV bytes, 16-bit PCM) becomes a sequence of frames of energy in twelve pitch classes.
 Filters of six shapes are evaluated on that image through its integral image; each gives two bits,
-and sixteen of them a packed 32-bit integer for every frame. Recordings are aligned at the offset of
-least bit error. All pairs and all offsets that cover ``MIN_OVERLAP`` codes are judged: the bits of
-two recordings are correlated through their Fourier transforms, which gives exact counts.
+and sixteen of them a packed 32-bit integer for every frame.
 
-Equal fingerprints are one class, searched once. Queries go to the executors in blocks against all
-classes; a task returns its best match for a query.
+Two recordings are aligned by an offset histogram: every pair of equal bits of two codes votes for
+the offset between them, so that an offset's votes and the codes that it covers give its bit error,
+and the offset of least bit error is the alignment. Histograms are exact and cover all pairs and
+all offsets of ``MIN_OVERLAP`` codes or more: voting with single bits is a correlation, which is
+computed for many recordings at once through Fourier transforms.
+
+Equal fingerprints are one class, searched once. Classes are dealt into parts of bounded size; in
+one shuffle each part meets the queries, which stream by, and a task returns a part's best match
+for a query.
 
 Defined cases: a null, malformed or too short recording has no codes, no class and no match;
 silence has codes like any sound; ties go to the smaller id; repeated rows are one class; an empty
@@ -30,7 +35,8 @@ from millrace.llm.common import arrow_map, read, small_or_shuffled, written
 FRAME, HOP = 512, 160
 #: Frames that the widest filter spans.
 SPAN = 16
-QUERY_BLOCK = 4096
+#: Recordings that a task holds, and queries that it works on at once.
+PART, QUERIES = 2048, 256
 #: Codes that an alignment covers at least (or all of the shorter recording).
 MIN_OVERLAP = 2 * SPAN
 #: Values of spectra or of correlations held at a time.
@@ -214,36 +220,44 @@ class Align:
                     self.best[q], self.least[q] = found, found[0]
 
 
+MATCH = "query_class long, bit_error double, match_class long, match_offset int, votes long"
+
+
+def part_matches(batches):
+    """Kernel over rows (part, asked, class_id, codes) sorted by part and asked: recordings come
+    before the queries that stream by."""
+    types = [pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int64()]
+    part, ids, data = None, [], []
+    for batch in batches:
+        parts, asked = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((parts[1:] != parts[:-1]) | (asked[1:] != asked[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if a == b:
+                continue
+            if parts[a] != part:
+                part, ids, data = parts[a], [], []
+            if not asked[a]:
+                ids += batch.column(2).slice(a, b - a).to_pylist()
+                data += batch.column(3).slice(a, b - a).to_pylist()
+                continue
+            for at in range(a, b, QUERIES):
+                n = min(QUERIES, b - at)
+                state = Align(batch.column(2).slice(at, n).to_pylist(), batch.column(3).slice(at, n).to_pylist())
+                state.add(ids, data)
+                rows = [(int(state.ids[q]), *x) for q, x in sorted(state.best.items())]
+                columns = list(zip(*((q, error, match, shift, votes) for q, error, match, shift, votes in rows))) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["query_class", "bit_error", "match_class", "match_offset", "votes"])
+
+
 def best_matches(classes: DataFrame, queries: DataFrame) -> DataFrame:
     """query_class, match_class, bit_error, match_offset, votes: for each row of ``queries`` (of the
     same columns class_id, codes) the class of least bit error over all offsets, and how many
     codes are equal there (votes)."""
-    spark = classes.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = []
-    for block in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == block).collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r["class_id"] for r in rows], [bytes(r["codes"]) for r in rows]))
-
-        def run(batches, shared=shared):
-            state = Align(*shared.value)
-            for batch in batches:
-                state.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            rows = [(int(state.ids[q]), *x) for q, x in sorted(state.best.items())]
-            columns = list(zip(*rows)) or [[]] * 5
-            types = [pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["query_class", "bit_error", "match_class", "match_offset", "votes"])
-
-        parts.append(classes.select("class_id", "codes").mapInArrow(run, "query_class long, bit_error double, match_class long, match_offset int, votes long"))
-    schema = "query_class long, bit_error double, match_class long, match_offset int, votes long"
-    if not parts:
-        return spark.createDataFrame([], schema)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    parts = max(1, -(-classes.count() // PART))
+    there = classes.select(F.pmod(F.xxhash64("class_id"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asked"), "class_id", "codes")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asked"), "class_id", "codes")
+    dealt = there.unionByName(asked).repartition("part").sortWithinPartitions("part", "asked")
+    found = dealt.mapInArrow(part_matches, MATCH)
     return found.groupBy("query_class").agg(F.min(F.struct("bit_error", "match_class", "match_offset", "votes")).alias("x")).select("query_class", "x.*")
 
 
@@ -251,22 +265,23 @@ def align(media: DataFrame, is_query, key: str = "rec_id", audio: str = "audio")
     """One row a recording: rec_id, n_codes, codes, class_id (the smallest id with equal codes), and
     for queries (``is_query(rec_id)``) match_id, bit_error, match_offset, votes. A query whose class
     has other members matches the smallest of them, without bit errors."""
-    each = written(fingerprints(media, key, audio))
+    each = written(fingerprints(media, key, audio).withColumn("h", F.xxhash64("codes")))
+    asked = is_query(F.col("rec_id"))
     classes = written(
         each.filter("codes IS NOT NULL")
-        .groupBy(F.xxhash64("codes").alias("h"), "codes")
-        .agg(F.min("rec_id").alias("class_id"), F.count_distinct("rec_id").alias("members"), F.max(F.when(is_query(F.col("rec_id")), 1).otherwise(0)).alias("asked"), F.min(F.when(is_query(F.col("rec_id")), F.col("rec_id"))).alias("asked_id"))
+        .groupBy("h", "codes")
+        .agg(F.min("rec_id").alias("class_id"), F.max("rec_id").alias("last_id"), F.max(F.coalesce(asked, F.lit(False))).alias("asked"))
         .filter("class_id IS NOT NULL")
     )
-    # The second smallest member, for the query that is the smallest itself.
-    others = classes.filter("members > 1").select("class_id", F.col("codes").alias("c"))
-    second = written(each.join(others, each["codes"] == others["c"]).filter("rec_id <> class_id").groupBy("class_id").agg(F.min("rec_id").alias("second_id")))
-    found = written(best_matches(classes, classes.filter("asked = 1 AND members = 1").select("class_id", "codes")))
-    named = classes.select("class_id", "members", F.col("codes").alias("c")).join(second, "class_id", "left")
-    n = classes.count()
-    rows = each.join(small_or_shuffled(named, n, 512), each["codes"] == F.col("c"), "left").drop("c")
-    rows = rows.join(small_or_shuffled(found, found.count(), 48), (F.col("class_id") == F.col("query_class")) & is_query(F.col("rec_id")), "left")
-    twin = is_query(F.col("rec_id")) & (F.col("members") > 1)
+    n, size = classes.agg(F.count("*"), F.sum(F.octet_length("codes"))).first()
+    by_codes = classes.select("h", "codes", "class_id", (F.col("last_id") > F.col("class_id")).alias("twins"))
+    rows = written(each.join(small_or_shuffled(by_codes, n, 64 + (size or 0) // max(1, n)), ["h", "codes"], "left").select("rec_id", "codes", "class_id", "twins"))
+    # The smallest member beside the first, after partial aggregation.
+    second = rows.filter("twins AND rec_id <> class_id").groupBy("class_id").agg(F.min("rec_id").alias("second_id"))
+    found = best_matches(classes.select("class_id", "codes"), classes.filter("asked AND last_id = class_id").select("class_id", "codes"))
+    both = written(second.join(found, second["class_id"] == found["query_class"], "full").select(F.coalesce("class_id", "query_class").alias("known_class"), "second_id", *(c.split()[0] for c in MATCH.split(", ")[1:])))
+    rows = rows.join(small_or_shuffled(both, both.count(), 64), (F.col("class_id") == F.col("known_class")) & asked, "left")
+    twin = asked & F.col("twins")
     return rows.select(
         "rec_id",
         F.coalesce(F.octet_length("codes") / 4, F.lit(0)).cast("int").alias("n_codes"),

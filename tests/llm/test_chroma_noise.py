@@ -54,3 +54,33 @@ def test_query_finds_the_best_of_all(spark):
     for k, r in found.items():
         error, match = min((brute(p, media[k])[0], j) for j, p in media.items() if j != k)
         assert r["match_id"] == match and r["bit_error"] == pytest.approx(error)
+
+
+@pytest.mark.parametrize("part", [3, 2048])
+def test_identical_silent_recordings_and_excerpts(spark, monkeypatch, part):
+    """Many equal recordings are one class; excerpts, shifted and noisy, find what they are of."""
+    import io
+    import wave
+
+    def wav(values):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(chroma.RATE)
+            w.writeframes(np.round(values * 30000).astype("<i2").tobytes())
+        return out.getvalue()
+
+    monkeypatch.setattr(chroma, "PART", part)
+    rng = np.random.default_rng(3)
+    tunes = [chroma.notes()[rng.integers(0, 25, 40)].ravel() / 32768 for _ in range(8)]
+    rows = [(k, wav(t)) for k, t in enumerate(tunes)]
+    rows += [(50 + k, wav(np.clip(t[10 * chroma.HOP : 60 * chroma.HOP] + rng.normal(scale=0.005, size=50 * chroma.HOP), -1, 1))) for k, t in enumerate(tunes)]
+    rows += [(1000 + k, wav(np.zeros(9000))) for k in range(300)] + [(None, wav(np.zeros(9000)))]
+    found = {r["rec_id"]: r for r in chroma.align(spark.createDataFrame(rows, "rec_id long, audio binary"), lambda c: (c >= 50) & (c < 58) | (c == 1000) | (c == 1007)).collect()}
+    for k in range(8):
+        r = found[50 + k]
+        assert (r["match_id"], r["match_offset"]) == (k, 10) and r["bit_error"] < 0.15
+    assert {found[1000 + k]["class_id"] for k in range(300)} == {1000}
+    assert (found[1000]["match_id"], found[1007]["match_id"], found[1007]["bit_error"]) == (1001, 1000, 0)
+    assert found[1001]["match_id"] is None
