@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_map, read
-from millrace.llm.words import Kept, joined, parts_of, slices
+from millrace.llm.words import KEPT_BYTES, Kept, joined, parts_of, slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -341,10 +341,6 @@ def added(a: tuple, b: tuple) -> tuple[bytes, int, bytes]:
     return a[0] + b[0], a[1] + b[1], a[2] + b[2]
 
 
-#: Bytes of results of words that a process keeps, and of text that it works on at once.
-KEPT_WORDS, AT_ONCE = 64 << 20, 4 << 20
-
-
 class Codec:
     """Texts to ids and back, with results of space-led words kept (bounded)."""
 
@@ -354,7 +350,7 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
         self.decoder = TokenDecoder(self.transducer.bytes_of)
-        self.words = Kept(self.word, KEPT_WORDS)
+        self.words = Kept(self.word, 2 * KEPT_BYTES, lambda x: 160 + len(x[0]) + len(x[2]))
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -391,7 +387,7 @@ class Codec:
 
     def documents(self, texts: pa.Array) -> Iterator[tuple[memoryview, int, memoryview]]:
         """As ``both``, for a column of whole texts."""
-        for start, n in slices(texts, AT_ONCE):
+        for start, n in slices(texts):
             results, number, starts = parts_of(texts.slice(start, n), self.words, self.both)
             (csv, a), (data, b) = (joined([r and r[k] for r in results], number, starts) for k in (0, 2))
             counts = np.concatenate([[0], np.cumsum(np.array([r[1] if r else 0 for r in results])[number])])[starts]

@@ -17,25 +17,21 @@ from __future__ import annotations
 
 import json
 import zlib
-from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import arrow_map, read, written
-from millrace.llm.words import Kept, joined, parts_of, slices
 
 CAPACITY = 2048
 
 
-class WordIds:
-    """Ids as little-endian unsigned 32-bit bytes, kept (bounded) for each space-led word.
+class TextIds:
+    """Ids as little-endian unsigned 32-bit bytes.
 
     The vocabulary is read from a ``tokenizers`` file. If its merges are ordered by id, as they
     are in byte-level files of this kind, ids are ranks and a rank encoder gives the same ids
@@ -56,49 +52,27 @@ class WordIds:
 
             plain = byte_alphabet()
             ranks = {bytes(plain[c] for c in t): i for t, i in vocab.items() if t not in self.specials}
-            encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            self.ids = encoding.encode_ordinary
+            encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.plain = lambda text: encoding.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
         else:
             tokenizer = Tokenizer.from_file(path)
-            self.ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-        # A special token with a space in it could span parts.
-        self.apart = not any(" " in s for s in self.specials)
-        self.ends = {c: self.encode(c) for c in ".,"}
-        self.words = Kept(self.word)
-
-    def encode(self, text: str) -> bytes:
-        """A whole text; special tokens' strings stand for their ids, as in the library."""
+            self.plain = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        """A whole text; special tokens' strings stand for their ids, as in the library. Null and
+        empty texts have no ids."""
+        if not text:
+            return b""
         for content, number in self.specials.items():
             if content in text:
-                return number.to_bytes(4, "little").join(self.encode(part) if part else b"" for part in text.split(content))
-        return array("I", self.ids(text)).tobytes()
-
-    def word(self, part: str) -> bytes:
-        """A part led by its space. Letters and a final mark are pieces of their own."""
-        end = self.ends.get(part[-1])
-        if end is not None and part[:-1].isalpha():
-            return self.words[part[:-1]] + end
-        return self.encode(" " + part)
-
-    def documents(self, texts: pa.Array) -> Iterator[bytes]:
-        """As ``encode``, for a column; null and empty texts have no ids."""
-        if not self.apart:
-            yield from (self.encode(t) if t else b"" for t in texts.to_pylist())
-            return
-        for start, n in slices(texts):
-            results, number, starts = parts_of(texts.slice(start, n), self.words, self.encode)
-            data, places = joined(results, number, starts)
-            for a, b in zip(places[:-1].tolist(), places[1:].tolist()):
-                yield bytes(data[a:b])
-
-    def document(self, text: str | None) -> bytes:
-        return next(self.documents(pa.array([text], pa.string())))
+                return number.to_bytes(4, "little").join(map(self.encode, text.split(content)))
+        return self.plain(text)
 
 
 @lru_cache(1)
-def shared_ids(path: str, pattern: str) -> WordIds:
+def shared_ids(path: str, pattern: str) -> TextIds:
     """One encoder a process, whatever the number of its tasks."""
-    return WordIds(path, pattern)
+    return TextIds(path, pattern)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -127,8 +101,8 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, eod:
 
         def kernel(ids, texts):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for i, data in zip(ids.to_pylist(), encoder.documents(texts)):
-                data += tail
+            for i, text in zip(ids, texts):
+                data = encoder.encode(text) + tail
                 n, start, piece = len(data) // 4, 0, 0
                 size = n % capacity or capacity
                 while start < n:
@@ -139,7 +113,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, eod:
 
         return kernel
 
-    made = arrow_map(docs, [F.col("doc_id").cast("bigint").alias("doc_id"), "text"], "doc_id long, piece int, start long, length long, ids_crc32 long", setup, arrow_in=True)
+    made = arrow_map(docs, [F.col("doc_id").cast("bigint").alias("doc_id"), "text"], "doc_id long, piece int, start long, length long, ids_crc32 long", setup)
     return written(made.withColumn("uid", F.monotonically_increasing_id()))
 
 

@@ -15,44 +15,39 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Rows and bytes of text that are worked on at once.
-ROWS, BYTES = 4096, 1 << 20
+ROWS, BYTES = 4096, 8 << 20
 #: Bytes of results that a process keeps.
-KEPT_BYTES = 16 << 20
-
-
-def weight(value: object) -> int:
-    """About the bytes that a word or its result takes in memory."""
-    if isinstance(value, tuple):
-        return 64 + sum(map(weight, value))
-    return 56 + (len(value) if isinstance(value, (str, bytes)) else 0)
+KEPT_BYTES = 40 << 20
+#: Bytes that an entry takes besides its word and its result.
+ENTRY = 210
 
 
 class Kept(dict):
-    """Results by word, None for what must not stand alone; emptied when it holds ``most`` bytes."""
+    """Results by word, None for what must not stand alone; emptied when it holds ``most`` bytes.
+    ``size`` gives the bytes of a result."""
 
-    def __init__(self, make: Callable[[str], object], most: int = KEPT_BYTES):
+    def __init__(self, make: Callable[[str], object], most: int = KEPT_BYTES, size: Callable = len):
         super().__init__()
-        self.make, self.most, self.held = make, most, 0
+        self.make, self.most, self.size, self.held = make, most, size, 0
 
     def __missing__(self, part: str):
         found = None if not part or part[0].isspace() else self.make(part)
-        size = 104 + weight(part) + weight(found)
-        if self.held + size > self.most:
+        held = self.held + ENTRY + len(part) + (self.size(found) if found is not None else 0)
+        if held > self.most:
             self.clear()
-            self.held = 0
-        if size <= self.most:
-            self.held += size
-            self[part] = found
+            held = 0
+        self.held = held
+        self[part] = found
         return found
 
 
-def slices(texts: pa.Array, most: int = BYTES) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Start and length of pieces of a column within the bounds (at least a row each)."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
         before = int(sizes[start - 1]) if start else 0
-        stop = min(start + ROWS, max(start + 1, int(np.searchsorted(sizes, before + most, "right"))))
+        stop = min(start + ROWS, max(start + 1, int(np.searchsorted(sizes, before + BYTES, "right"))))
         yield start, stop - start
         start = stop
 

@@ -170,10 +170,10 @@ def test_word_ids_equal_the_tokenizer(text):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    encoder = packing.WordIds(packing.default_path(), public_tokenizers.PATTERN)
+    encoder = packing.TextIds(packing.default_path(), public_tokenizers.PATTERN)
     want = Tokenizer.from_file(packing.default_path()).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(encoder.document(text), "<u4").tolist() == want
-    assert np.frombuffer(encoder.document(text), "<u4").tolist() == want
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
 
 
 def test_packing_edges(spark):
