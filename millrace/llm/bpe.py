@@ -45,7 +45,7 @@ class Transducer:
     #: Bytes after which settled tokens are emitted.
     HELD = 64
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 250_000, max_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 500_000, max_pairs: int = 500_000):
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=0)
         self.bytes_of = {i: t for t, i in ranks.items()}
@@ -350,7 +350,8 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
         self.decoder = TokenDecoder(self.transducer.bytes_of)
-        self.words = Kept(self.word, 2 * KEPT_BYTES, lambda x: 160 + len(x[0]) + len(x[2]))
+        self.csv_of = {i: b"%d," % i for i in self.transducer.bytes_of}
+        self.words = Kept(self.word, 3 * KEPT_BYTES, lambda x: 160 + len(x[0]) + len(x[2]))
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -367,7 +368,13 @@ class Codec:
 
     def described(self, ids: list[int]) -> tuple[bytes, int, bytes]:
         """Decimal ids with a comma after each, their number, and the bytes they decode to."""
-        return b"".join([b"%d," % i for i in ids]), len(ids), self.decode(ids).encode()
+        delta, width, state, out = self.decoder.delta, self.decoder.width, 0, []
+        for i in ids:
+            text, state = delta.get(state * width + i) or self.decoder.move(state, i)
+            out.append(text)
+        if state:
+            out.append(LOST)
+        return b"".join(map(self.csv_of.__getitem__, ids)), len(ids), "".join(out).encode()
 
     def both(self, text: str) -> tuple[bytes, int, bytes]:
         """``described`` ids of a text."""
