@@ -9,13 +9,14 @@ cost one step. The driver sees three numbers a step.
 from __future__ import annotations
 
 import itertools
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.storage import checkpoint_dir
+
 #: Message combiners.
 COMBINERS: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "list": F.collect_list}
 
@@ -30,12 +31,6 @@ class Step:
     aggregate: object
 
 
-def ensure_checkpoint_dir(df: DataFrame) -> None:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
-
-
 def run(
     vertices: DataFrame,
     edges: DataFrame,
@@ -58,7 +53,7 @@ def run(
     every step, until none is active). Messages to unknown vertices are dropped. There is no limit of
     supersteps unless ``max_supersteps`` gives one; if it is reached before the end, that is an error.
     """
-    ensure_checkpoint_dir(vertices)
+    checkpoint_dir(vertices.sparkSession)
     combine = COMBINERS[combiner] if isinstance(combiner, str) else combiner
     now, mail = vertices, messages
     for superstep in itertools.count():
@@ -88,7 +83,7 @@ def pagerank(edges: DataFrame, vertices: DataFrame | None = None, damping: float
     ids = vertices.select("id") if vertices is not None else edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     start = ids.join(degree, F.col("id") == F.col("src"), "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
-    ensure_checkpoint_dir(edges)
+    checkpoint_dir(edges.sparkSession)
     start = start.checkpoint()
     n = start.count()
     if not n:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.queries.basic import table
 from millrace.sources import binary, files
 from millrace.sql.engine import Engine
-from millrace.streaming.state import scratch
+from millrace.storage import scratch
 
 
 def _folder(spark, name):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
 
 from millrace.graph import examples, pregel
 from millrace.queries.basic import table
+from millrace.storage import scratch
 from millrace.streaming import state, windows
 
 
@@ -50,12 +50,12 @@ def stream_count_zero_fill_all(spark, sf_dir):
 
 
 def stream_update_state(spark, sf_dir):
-    folder = f"{state.local_scratch()}/update-{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/update-{uuid.uuid4().hex}"
     last = []
     update = lambda values, old: F.coalesce(old, F.lit(0).cast("bigint")) + F.size(values)
     writer = state.update_state_by_key(_events(spark, sf_dir), "user_id", "event_id", update, folder, "bigint", "bigint", "bigint", lambda df, n: last.append(n))
     writer.trigger(availableNow=True).start().awaitTermination()
-    made = spark.read.schema("k bigint, s bigint").parquet(os.path.join(folder, "state", str(last[-1])))
+    made = spark.read.schema("k bigint, s bigint").parquet(f"{folder}/state/{last[-1]}")
     return made.select(F.col("k").alias("user_id"), F.col("s").alias("n"))
 
 

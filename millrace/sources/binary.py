@@ -2,16 +2,14 @@
 text, and key-value logs. Each splits files into byte ranges, so large files are read in parallel.
 
 Register with ``register_all(spark)``; then for example
-``spark.read.format("fixedbin").option("fmt", "I").load(path)``. Paths are on a file system that all
-executors mount.
+``spark.read.format("fixedbin").option("fmt", "I").load(path)``. Paths are local ones that all
+executors mount, or URIs of a file system that ``millrace.sources.vfs`` opens.
 """
 
 from __future__ import annotations
 
 import binascii
-import glob
 import json
-import os
 import pickle
 import struct
 import time
@@ -20,11 +18,14 @@ import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from millrace.sources import vfs
 from millrace.sources.files import expand
+from millrace.sources.vfs import local
 
 SPLIT = 64 << 20
 
@@ -41,20 +42,14 @@ class Range(InputPartition):
         self.path, self.begin, self.end = path, begin, end
 
 
-def local(path: str) -> str:
-    return path.removeprefix("file://")
-
-
 def listed(path: str, ext: str = "") -> list[str]:
-    at = local(path)
-    found = sorted(glob.glob(at)) if any(c in at for c in "*?[") else [at]
-    return expand(found, ext)
+    return expand(vfs.glob(path), ext)
 
 
 def byte_ranges(files: Sequence[str], split: int, unit: int = 1) -> list[Range]:
     """Ranges of about ``split`` bytes, aligned to ``unit``."""
     step = max(unit, split // unit * unit)
-    return [Range(p, b, min(b + step, n)) for p in files for n in (os.path.getsize(p),) for b in range(0, n, step)]
+    return [Range(p, b, min(b + step, n)) for p in files for n in (vfs.getsize(p),) for b in range(0, n, step)]
 
 
 @dataclass
@@ -70,8 +65,8 @@ class FileWriter(DataSourceWriter):
 
     def __init__(self, options: dict, overwrite: bool, ext: str):
         self.path, self.ext, self.overwrite = local(options["path"]), ext, overwrite
-        self.old = expand(self.path, ext) if overwrite and os.path.isdir(self.path) else []
-        os.makedirs(self.path, exist_ok=True)
+        self.old = expand(self.path, ext) if overwrite and vfs.isdir(self.path) else []
+        vfs.makedirs(self.path)
 
     def encode(self, row) -> bytes:
         raise NotImplementedError
@@ -80,27 +75,27 @@ class FileWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         n = TaskContext.get().partitionId()
-        temporary = os.path.join(self.path, f".{n:04d}-{uuid.uuid4().hex}.tmp")
-        with open(temporary, "wb", 1 << 20) as f:
+        temporary = vfs.join(self.path, f".{n:04d}-{uuid.uuid4().hex}.tmp")
+        with vfs.open(temporary, "wb") as f:
             for row in iterator:
                 f.write(self.encode(row))
-        return Done(temporary, os.path.join(self.path, f"{n:04d}{self.ext}"))
+        return Done(temporary, vfs.join(self.path, f"{n:04d}{self.ext}"))
 
     def commit(self, messages) -> None:
         for old in self.old:
-            os.remove(old)
+            vfs.remove(old)
         for m in messages:
             if m is None:
                 continue
-            if os.path.getsize(m.temporary):
-                os.replace(m.temporary, m.final)
+            if vfs.getsize(m.temporary):
+                vfs.replace(m.temporary, m.final)
             else:
-                os.remove(m.temporary)
+                vfs.remove(m.temporary)
 
     def abort(self, messages) -> None:
         for m in messages:
-            if m is not None and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+            if m is not None and vfs.exists(m.temporary):
+                vfs.remove(m.temporary)
 
 
 # --- fixed-length records ---
@@ -160,7 +155,7 @@ class FixedReader(DataSourceReader):
         return byte_ranges(listed(self.options["path"]), int(self.options.get("split", SPLIT)), self.length)
 
     def read(self, partition: Range):
-        with open(partition.path, "rb") as f:
+        with vfs.open(partition.path) as f:
             f.seek(partition.begin)
             left = partition.end - partition.begin
             while left >= self.length:
@@ -187,23 +182,35 @@ class FixedWriter(FileWriter):
 # --- TFRecord ---
 
 
-def _crc32c_table() -> list[int]:
-    out = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-        out.append(n)
-    return out
+def _crc32c_tables() -> np.ndarray:
+    """For each byte and each number of bytes that follow it, what it does to the checksum."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0x82F63B78), table >> 1).astype(np.uint32)
+    out = [table]
+    for _ in range(LANES - 1):
+        out.append(table[out[-1] & 0xFF] ^ out[-1] >> 8)
+    return np.stack(out[::-1])
 
 
-_CRC32C = _crc32c_table()
+#: Bytes that are taken at once.
+LANES = 256
+_TABLES = _crc32c_tables()
+_LAST: list[int] = _TABLES[-1].tolist()
+_PLACES = np.arange(LANES)
 
 
 def crc32c(data: bytes) -> int:
-    """CRC-32C (Castagnoli)."""
-    crc, table = 0xFFFFFFFF, _CRC32C
-    for b in data:
-        crc = crc >> 8 ^ table[(crc ^ b) & 0xFF]
+    """CRC-32C (Castagnoli). A checksum is linear in its bytes: a block of ``LANES`` bytes, the first
+    four with the checksum so far added, is looked up all at once."""
+    crc, at = 0xFFFFFFFF, 0
+    while len(data) - at >= LANES:
+        block = np.frombuffer(data, np.uint8, LANES, at).copy()
+        block[:4] ^= np.frombuffer(crc.to_bytes(4, "little"), np.uint8)
+        crc = int(np.bitwise_xor.reduce(_TABLES[_PLACES, block]))
+        at += LANES
+    for b in data[at:]:
+        crc = crc >> 8 ^ _LAST[(crc ^ b) & 0xFF]
     return crc ^ 0xFFFFFFFF
 
 
@@ -260,7 +267,7 @@ class TFRecordReader(DataSourceReader):
         return None
 
     def read(self, partition: Range):
-        with open(partition.path, "rb") as f:
+        with vfs.open(partition.path) as f:
             at = self.first_record(f, partition.begin, partition.end) if partition.begin else 0
             if at is None:
                 return
@@ -317,7 +324,7 @@ class ByteRangeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = local(options["path"])
         self.begin = int(options.get("begin", 0))
-        self.end = min(int(options.get("end", 1 << 62)), os.path.getsize(self.path))
+        self.end = min(int(options.get("end", 1 << 62)), vfs.getsize(self.path))
         self.split = int(options.get("split", SPLIT))
 
     def partitions(self):
@@ -329,7 +336,7 @@ class ByteRangeReader(DataSourceReader):
 
 def lines_of(path: str, begin: int, end: int) -> Iterator[str]:
     """Lines that start in the range."""
-    with open(path, "rb") as f:
+    with vfs.open(path) as f:
         if begin:
             f.seek(begin - 1)
             if f.read(1) != b"\n":
@@ -427,7 +434,7 @@ class KVReader(DataSourceReader):
     def partitions(self):
         files = listed(self.options["path"], ".data")
         if self.keys is not None and not self.fullscan:
-            hinted = [p for p in files if os.path.exists(p[:-5] + ".hint")]
+            hinted = [p for p in files if vfs.exists(p[:-5] + ".hint")]
             rest = [p for p in files if p not in set(hinted)]
             return [Range(p, -1, -1) for p in hinted] + byte_ranges(rest, int(self.options.get("split", SPLIT)), PADDING)
         return byte_ranges(files, int(self.options.get("split", SPLIT)), PADDING)
@@ -455,7 +462,7 @@ class KVReader(DataSourceReader):
         return (text, flag, value, version, ts) if self.raw else (text, decoded(flag, value, self.trusted), version, ts)
 
     def read(self, partition: Range):
-        with open(partition.path, "rb") as f:
+        with vfs.open(partition.path) as f:
             if partition.begin < 0:
                 yield from self.hinted(f, partition.path[:-5] + ".hint")
                 return
@@ -471,7 +478,7 @@ class KVReader(DataSourceReader):
                     yield self.row(found)
 
     def hinted(self, f, hint: str):
-        with open(hint, "rb") as h:
+        with vfs.open(hint) as h:
             data = h.read()
         at = 0
         while at + 10 <= len(data):
@@ -519,12 +526,12 @@ class KVWriter(FileWriter):
                     continue
                 bucket = fnv1a(key) >> bits if self.depth else 0
                 if bucket not in out:
-                    folder = os.path.join(self.path, *(f"{bucket:0{self.depth}x}" if self.depth else ""))
-                    os.makedirs(folder, exist_ok=True)
+                    folder = vfs.join(self.path, *(f"{bucket:0{self.depth}x}" if self.depth else ""))
+                    vfs.makedirs(folder)
                     mark = uuid.uuid4().hex
-                    pair = [os.path.join(folder, f".{n:03d}-{mark}{e}") for e in (".data", ".hint")]
-                    names += [(t, os.path.join(folder, f"{n:03d}{e}")) for t, e in zip(pair, (".data", ".hint"))]
-                    out[bucket] = tuple(open(t, "wb", 1 << 20) for t in pair)
+                    pair = [vfs.join(folder, f".{n:03d}-{mark}{e}") for e in (".data", ".hint")]
+                    names += [(t, vfs.join(folder, f"{n:03d}{e}")) for t, e in zip(pair, (".data", ".hint"))]
+                    out[bucket] = tuple(vfs.open(t, "wb") for t in pair)
                 data, hint = out[bucket]
                 value, flag = r["value"], int(r.get("flag") or 0)
                 if isinstance(value, bool):
@@ -546,16 +553,16 @@ class KVWriter(FileWriter):
 
     def commit(self, messages) -> None:
         for old in self.old:
-            os.remove(old)
+            vfs.remove(old)
         for m in messages:
             for temporary, final in m.names if m else ():
-                os.replace(temporary, final)
+                vfs.replace(temporary, final)
 
     def abort(self, messages) -> None:
         for m in messages:
             for temporary, _ in m.names if m else ():
-                if os.path.exists(temporary):
-                    os.remove(temporary)
+                if vfs.exists(temporary):
+                    vfs.remove(temporary)
 
 
 def only_latest(log: DataFrame) -> DataFrame:

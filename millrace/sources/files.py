@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources import vfs
+
 
 def expand(paths: str | Sequence[str], ext: str = "", max_depth: int | None = None, follow_links: bool = True) -> list[str]:
-    """Files under the given local paths in sorted order: hidden files and folders are skipped,
-    names must end in ``ext``; ``max_depth`` bounds the folders below a path."""
+    """Files under the given paths in sorted order: hidden files and folders are skipped, names must
+    end in ``ext``; ``max_depth`` bounds the folders below a path."""
     out: list[str] = []
     for path in [paths] if isinstance(paths, str) else paths:
-        if os.path.isfile(path):
+        if vfs.isfile(path):
             out.append(path)
-            continue
-        if not os.path.isdir(path):
+        elif not vfs.isdir(path):
             raise FileNotFoundError(path)
-        base = path.rstrip("/").count("/")
-        for folder, inner, names in os.walk(path, followlinks=follow_links):
-            inner[:] = sorted(d for d in inner if not d.startswith(".") and (max_depth is None or folder.rstrip("/").count("/") - base + 1 <= max_depth))
-            out += [os.path.join(folder, n) for n in sorted(names) if not n.startswith((".", "_")) and n.endswith(ext) and (follow_links or not os.path.islink(os.path.join(folder, n)))]
+        else:
+            out += [p for p in vfs.walk(path, max_depth, follow_links) if p.endswith(ext)]
     return out
 
 
@@ -82,8 +80,9 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", overwrite: bool = True,
 
 
 def written_files(path: str) -> list[str]:
-    local = path.removeprefix("file://")
-    return expand(local) if os.path.isdir(local) else []
+    """Names of what was written, where Python can list the path."""
+    at = vfs.local(path)
+    return expand(at) if not vfs.is_remote(at) and vfs.isdir(at) else []
 
 
 # --- indexed columnar files ---

@@ -14,7 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from millrace.sources.binary import lines_of, local
+from millrace.sources import vfs
+from millrace.sources.binary import lines_of
+from millrace.sources.vfs import local
 
 
 class Piece(InputPartition):
@@ -54,16 +56,14 @@ class TailReader(DataSourceStreamReader):
         self.links = options.get("links", "false").lower() == "true"
 
     def files(self) -> list[str]:
-        if os.path.isdir(self.path):
-            found = [os.path.join(d, n) for d, inner, names in os.walk(self.path, followlinks=self.links) if not any(p.startswith(".") for p in os.path.relpath(d, self.path).split(os.sep) if p != ".") for n in names]
-        else:
-            found = [p for part in self.path.split(",") for p in glob.glob(part)]
-        return sorted(p for p in found if p.endswith(self.suffix) and not os.path.basename(p).startswith(".") and (self.links or not os.path.islink(p)))
+        parts = [self.path] if vfs.isdir(self.path) else self.path.split(",")
+        found = [f for part in parts for p in vfs.glob(part) if vfs.exists(p) for f in (vfs.walk(p, follow_links=self.links) if vfs.isdir(p) else [p])]
+        return sorted(p for p in found if p.endswith(self.suffix) and not p.rpartition("/")[2].startswith(".") and (self.links or vfs.is_remote(p) or not os.path.islink(p)))
 
     @staticmethod
     def complete_size(path: str, size: int) -> int:
         """Up to the last line end, so that a line being written is left for later."""
-        with open(path, "rb") as f:
+        with vfs.open(path) as f:
             at = size
             while at > 0:
                 step = min(at, 1 << 16)
@@ -80,11 +80,11 @@ class TailReader(DataSourceStreamReader):
         out = {}
         for p in self.files():
             try:
-                s = os.stat(p)
+                s = vfs.stat(p)
             except FileNotFoundError:
                 continue
-            if not self.max_age or time.time() - s.st_mtime <= self.max_age:
-                out[p] = [s.st_ino, self.complete_size(p, s.st_size)]
+            if not self.max_age or time.time() - s.changed <= self.max_age:
+                out[p] = [s.identity, self.complete_size(p, s.size)]
         return out
 
     def initialOffset(self) -> dict:

@@ -8,39 +8,42 @@ from the same earlier version, so results are exactly once.
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.storage import Folder, scratch
+
 
 class Versions:
-    """Tables numbered by batch in one folder; the last two are kept."""
+    """Tables numbered by batch in one shared folder; the last two are kept."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder, schema
-        os.makedirs(folder, exist_ok=True)
+        self.spark, self.schema = spark, schema
+        self.folder = Folder(spark, folder).make()
 
     def numbers(self) -> list[int]:
-        return sorted(int(n) for n in os.listdir(self.folder) if n.isdigit() and os.path.exists(os.path.join(self.folder, n, "_SUCCESS")))
+        return sorted(int(n) for n in self.folder.names() if n.isdigit() and self.folder.has(f"{n}/_SUCCESS"))
+
+    def read(self, batch: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder.path}/{batch}")
 
     def before(self, batch: int) -> DataFrame:
         """The latest version older than a batch."""
         older = [n for n in self.numbers() if n < batch]
-        if not older:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(os.path.join(self.folder, str(older[-1])))
+        return self.read(older[-1]) if older else self.spark.createDataFrame([], self.schema)
+
+    def latest(self) -> DataFrame:
+        numbers = self.numbers()
+        return self.read(numbers[-1]) if numbers else self.spark.createDataFrame([], self.schema)
 
     def put(self, batch: int, frame: DataFrame) -> DataFrame:
-        path = os.path.join(self.folder, str(batch))
-        frame.write.mode("overwrite").parquet(path)
+        frame.write.mode("overwrite").parquet(f"{self.folder.path}/{batch}")
         for n in self.numbers()[:-2]:
-            shutil.rmtree(os.path.join(self.folder, str(n)), ignore_errors=True)
-        return self.spark.read.schema(self.schema).parquet(path)
+            self.folder.drop(str(n))
+        return self.read(batch)
 
 
 def update_state_by_key(stream: DataFrame, key: str, value: str, update: Callable[[Column, Column], Column], folder: str, key_type: str, value_type: str, state_type: str, sink: Callable[[DataFrame, int], None] | None = None):
@@ -51,7 +54,7 @@ def update_state_by_key(stream: DataFrame, key: str, value: str, update: Callabl
     whole state after each batch. Rows with a NULL key only mark a batch.
     """
     spark = stream.sparkSession
-    versions = Versions(spark, os.path.join(folder, "state"), f"k {key_type}, s {state_type}")
+    versions = Versions(spark, f"{folder}/state", f"k {key_type}, s {state_type}")
 
     def step(batch: DataFrame, number: int) -> None:
         rows = batch.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.collect_list(F.col(value).cast(value_type)).alias("v"))
@@ -62,7 +65,7 @@ def update_state_by_key(stream: DataFrame, key: str, value: str, update: Callabl
         if sink:
             sink(made, number)
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", os.path.join(folder, "checkpoint"))
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
 
 
 def reduce_by_key_and_window(stream: DataFrame, key: str, value: str, batches: int, folder: str, key_type: str, value_type: str, keep_zero: bool, every: int = 1, sink: Callable[[DataFrame, int], None] | None = None):
@@ -73,18 +76,18 @@ def reduce_by_key_and_window(stream: DataFrame, key: str, value: str, batches: i
     with an inverse function; without, it goes.
     """
     spark = stream.sparkSession
-    partials = os.path.join(folder, "partials")
-    seen = Versions(spark, os.path.join(folder, "seen"), f"k {key_type}")
+    partials = Folder(spark, f"{folder}/partials").make()
+    seen = Versions(spark, f"{folder}/seen", f"k {key_type}")
     schema = f"k {key_type}, p {value_type}"
 
     def step(batch: DataFrame, number: int) -> None:
-        path = os.path.join(partials, str(number))
+        path = f"{partials.path}/{number}"
         reduced = batch.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.sum(value).cast(value_type).alias("p"))
         reduced.write.mode("overwrite").parquet(path)
-        for old in os.listdir(partials):
-            if old.isdigit() and int(old) <= number - batches - 1:
-                shutil.rmtree(os.path.join(partials, old), ignore_errors=True)
-        inside = [os.path.join(partials, str(n)) for n in range(max(0, number - batches + 1), number + 1) if os.path.exists(os.path.join(partials, str(n)))]
+        there = [int(n) for n in partials.names() if n.isdigit()]
+        for old in (n for n in there if n <= number - batches - 1):
+            partials.drop(str(old))
+        inside = [f"{partials.path}/{n}" for n in there if number - batches < n <= number]
         sums = spark.read.schema(schema).parquet(*inside).groupBy("k").agg(F.sum("p").cast(value_type).alias("v"))
         if keep_zero:
             known = seen.put(number, seen.before(number).unionByName(spark.read.schema(schema).parquet(path).select("k")).distinct())
@@ -92,8 +95,7 @@ def reduce_by_key_and_window(stream: DataFrame, key: str, value: str, batches: i
         if sink and (number + 1) % every == 0:
             sink(sums, number)
 
-    os.makedirs(partials, exist_ok=True)
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", os.path.join(folder, "checkpoint"))
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
 
 
 def to_end(frame: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
@@ -102,7 +104,7 @@ def to_end(frame: DataFrame, mode: str = "append", folder: str | None = None) ->
     ``complete`` keeps the last result, ``append`` and ``update`` all emitted rows. Rows go to
     Parquet, not to the driver."""
     spark = frame.sparkSession
-    folder = folder or os.path.join(scratch(spark), f"stream-{uuid.uuid4().hex}")
+    folder = folder or f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{folder}/out"
 
     def step(batch: DataFrame, number: int) -> None:
@@ -111,12 +113,3 @@ def to_end(frame: DataFrame, mode: str = "append", folder: str | None = None) ->
     frame.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     made = spark.read.schema(frame.schema).option("recursiveFileLookup", True).parquet(out)
     return made
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that executors share if one is set, else a local temporary one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")).rstrip("/")
-
-
-def local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="millrace-")
