@@ -19,8 +19,11 @@ row a task. Anchors with more than ``GROUP`` different ranges are not gathered:
 buckets are counted by an aggregation as well, and the starts of repeated ones are joined back.
 
 Defined cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing;
-matches never cross texts; rows with an equal id are separate documents (told apart by their
-text's hash; rows that are equal in both lose the same bytes); an empty table gives no rows.
+matches never cross texts; rows with an equal id are separate documents (told apart by hashes of id
+and text; rows that are equal in both lose the same bytes); an empty table gives no rows.
+
+Texts that share any anchor are written once, in buckets, so that the lists of their ranges and
+starts come to them without moving them again.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BROADCAST_BYTES, arrow_map, read, small_or_shuffled, written
+from millrace.llm.common import arrow_map, bucketed, forget, read, small_or_shuffled, written
 
 LENGTH = 400
 #: Bytes of text hashed at once; a longer text is hashed on its own, in overlapping parts.
@@ -200,9 +203,13 @@ def encoded(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
+KEY = ["uid", "tag"]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, tag (a hash that tells rows of one id apart) and text."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("text").alias("tag"), "text")
+    """doc_id, text and what tells rows apart: uid and tag, hashes of both."""
+    doc_id = F.col("doc_id").cast("bigint")
+    return docs.select(F.xxhash64(doc_id, "text").alias("uid"), F.hash("text", doc_id).alias("tag"), doc_id.alias("doc_id"), "text")
 
 
 SPANS = "array<struct<s: int, e: int>>"
@@ -228,49 +235,57 @@ def joined_runs(spans: list) -> list[tuple[int, int]]:
 
 
 def all_ranges(texts: DataFrame, length: int, q: int, before: int) -> DataFrame:
-    """Ranges of all starts of ``texts`` (doc_id, tag, text, spans), or if ``before`` is not zero of
+    """Ranges of all starts of ``texts`` (uid, tag, text, spans), or if ``before`` is not zero of
     those that can be repeated: between the first and last start of a run of repeated strings of
     ``before`` bytes, less what the string is longer."""
 
     def setup():
-        def kernel(ids, tags, texts, spans):
+        def kernel(uids, tags, texts, spans):
             data = [encoded(t) for t in texts]
             runs = [[(s, e - length + before) for s, e in joined_runs(x)] for x in spans] if before else None
             text, lo, hi, anchor, whole = ranges(data, length, q, runs)
             place = text.tolist()
-            return [ids[i] for i in place], [tags[i] for i in place], lo.astype(np.int32), hi.astype(np.int32), anchor, whole
+            return [uids[i] for i in place], [tags[i] for i in place], lo.astype(np.int32), hi.astype(np.int32), anchor, whole
 
         return kernel
 
-    return arrow_map(texts, ["doc_id", "tag", "text", "spans"], "doc_id long, tag int, lo int, hi int, anchor long, whole long", setup)
+    return arrow_map(texts, [*KEY, "text", "spans"], "uid long, tag int, lo int, hi int, anchor long, whole long", setup)
 
 
-def same_doc(left: DataFrame, right: DataFrame):
-    return left["doc_id"].eqNullSafe(right["r_id"]) & (left["tag"] == right["r_tag"])
-
-
-def renamed(df: DataFrame) -> DataFrame:
-    return df.withColumnRenamed("doc_id", "r_id").withColumnRenamed("tag", "r_tag")
+def shared_ranges(texts: DataFrame, length: int, q: int, before: int) -> DataFrame:
+    """Written: the ranges whose anchor stands in others too, and whether all of those are alike."""
+    every = written(all_ranges(texts, length, q, before))
+    shared = written(every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).filter("n > 1").select("anchor", (F.col("least") == F.col("most")).alias("alike")))
+    found = written(every.join(small_or_shuffled(shared, shared.count(), 16), "anchor"))
+    forget(every)
+    return found
 
 
-def beside_texts(docs: DataFrame, right: DataFrame, listed: str, how: str = "inner") -> DataFrame:
-    """``keyed`` rows of ``docs`` with the columns of ``right`` (written; doc_id, tag and the list
-    ``listed``), which is sent to all executors only if its entries are few enough."""
-    n, entries = right.agg(F.count("*"), F.sum(F.size(listed))).first()
-    base, other = keyed(docs), renamed(right)
-    small = 48 * n + 40 * (entries or 0) <= BROADCAST_BYTES
-    return base.join(F.broadcast(other) if small else other, same_doc(base, other), how).drop("r_id", "r_tag")
+def repeated_in(held: DataFrame, candidates: DataFrame, length: int, q: int) -> DataFrame:
+    """Written: uid, tag, spans: sorted runs (first and last) of the starts whose string of
+    ``length`` bytes is repeated, for the documents that have any. ``held`` are the texts."""
+    runs = lambda df: df.select(*KEY, F.col("lo").alias("s"), F.col("hi").alias("e"))
+    unlike = candidates.filter("NOT alike")
+    kinds = written(
+        unlike.groupBy("anchor", "whole")
+        .agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "lo", "hi")).alias("one"))
+        .select("anchor", "whole", "n", "one.*")
+    )
+    several = kinds.filter("n > 1").select("anchor", "whole")
+    also = unlike.join(small_or_shuffled(several, several.count(), 16), ["anchor", "whole"], "left_semi")
+    spans = runs(candidates.filter("alike")).unionByName(runs(also)).unionByName(refined(held, kinds, length, q))
+    return written(spans.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")))
 
 
-def refined(docs: DataFrame, kinds: DataFrame, length: int, q: int) -> DataFrame:
-    """Runs (doc_id, tag, s, e) of repeated starts in ranges whose anchor other ranges share.
+def refined(held: DataFrame, kinds: DataFrame, length: int, q: int) -> DataFrame:
+    """Runs (uid, tag, s, e) of repeated starts in ranges whose anchor other ranges share.
 
-    ``kinds``: anchor, whole, n (ranges of that kind), doc_id, tag, lo, hi of one of them.
+    ``kinds``: anchor, whole, n (ranges of that kind), uid, tag, lo, hi of one of them.
     """
     crowded = kinds.groupBy("anchor").agg((F.count("*") > GROUP).alias("crowded"))
-    by_doc = written(kinds.join(crowded, "anchor").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "n", "crowded", "lo", "hi")).alias("found")))
+    listed = kinds.join(crowded, "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "n", "crowded", "lo", "hi")).alias("found"))
     # Equal rows would come twice; then n > 1 for all their ranges, and nothing hangs on the count.
-    texts = beside_texts(docs, by_doc, "found")
+    texts = held.join(listed, KEY)
     few, many = (texts.withColumn("found", F.expr(f"filter(found, x -> x.crowded = {c})")).filter(F.size("found") > 0) for c in ("false", "true"))
     return gathered(few, length, q).unionByName(counted(many, length))
 
@@ -280,9 +295,9 @@ def gathered(texts: DataFrame, length: int, q: int) -> DataFrame:
     import pandas as pd
 
     def setup():
-        def kernel(ids, tags, texts, found):
+        def kernel(uids, tags, texts, found):
             out: list[list] = [[] for _ in range(6)]
-            for i, tag, text, entries in zip(ids, tags, texts, found):
+            for i, tag, text, entries in zip(uids, tags, texts, found):
                 data = encoded(text)
                 for x in entries:
                     for column, value in zip(out, (x["anchor"], i, tag, x["n"] == 1, x["lo"], data[x["lo"] : x["hi"] + length])):
@@ -291,14 +306,14 @@ def gathered(texts: DataFrame, length: int, q: int) -> DataFrame:
 
         return kernel
 
-    rows = arrow_map(texts, ["doc_id", "tag", "text", "found"], "anchor long, doc_id long, tag int, single boolean, lo int, bytes binary", setup, 64)
+    rows = arrow_map(texts, [*KEY, "text", "found"], "anchor long, uid long, tag int, single boolean, lo int, bytes binary", setup, 64)
     dealt = rows.repartition("anchor").sortWithinPartitions("anchor")
 
     def flush(held: list) -> list[tuple]:
         if len(held) < 2:
             return []
         flags = repeated_starts([r.bytes for r in held], length, q)
-        return [(r.doc_id, r.tag, s, e) for r, f in zip(held, flags) if r.single for s, e in runs_of(f, r.lo)]
+        return [(r.uid, r.tag, s, e) for r, f in zip(held, flags) if r.single for s, e in runs_of(f, r.lo)]
 
     def refine(batches):
         held, anchor = [], None
@@ -310,11 +325,11 @@ def gathered(texts: DataFrame, length: int, q: int) -> DataFrame:
                     held, anchor = [], r.anchor
                 held.append(r)
             if done:
-                yield pd.DataFrame(done, columns=["doc_id", "tag", "s", "e"])
+                yield pd.DataFrame(done, columns=[*KEY, "s", "e"])
         if done := flush(held):
-            yield pd.DataFrame(done, columns=["doc_id", "tag", "s", "e"])
+            yield pd.DataFrame(done, columns=[*KEY, "s", "e"])
 
-    return dealt.mapInPandas(refine, "doc_id long, tag int, s int, e int")
+    return dealt.mapInPandas(refine, "uid long, tag int, s int, e int")
 
 
 def counted(texts: DataFrame, length: int) -> DataFrame:
@@ -322,9 +337,9 @@ def counted(texts: DataFrame, length: int) -> DataFrame:
     aggregation, so that no task holds all the members of one."""
 
     def setup():
-        def kernel(ids, tags, texts, found):
+        def kernel(uids, tags, texts, found):
             out: list[list] = [[] for _ in range(6)]
-            for i, tag, text, entries in zip(ids, tags, texts, found):
+            for i, tag, text, entries in zip(uids, tags, texts, found):
                 data = encoded(text)
                 for x in entries:
                     first, second = start_ids(data[x["lo"] : x["hi"] + length], length)
@@ -334,39 +349,23 @@ def counted(texts: DataFrame, length: int) -> DataFrame:
 
         return kernel
 
-    rows = written(arrow_map(texts, ["doc_id", "tag", "text", "found"], "doc_id long, tag int, single boolean, s int, first long, second long", setup, 16))
+    rows = written(arrow_map(texts, [*KEY, "text", "found"], "uid long, tag int, single boolean, s int, first long, second long", setup, 16))
     again = written(rows.groupBy("first", "second").agg(F.count("*").alias("n")).filter("n > 1").select("first", "second"))
-    return rows.filter("single").join(small_or_shuffled(again, again.count(), 24), ["first", "second"], "left_semi").select("doc_id", "tag", "s", F.col("s").alias("e"))
+    return rows.filter("single").join(small_or_shuffled(again, again.count(), 24), ["first", "second"], "left_semi").select(*KEY, "s", F.col("s").alias("e"))
 
 
-def level_runs(docs: DataFrame, texts: DataFrame, length: int, q: int, before: int) -> DataFrame:
-    """doc_id, tag, spans: sorted runs (first and last) of the starts whose string of ``length``
-    bytes is repeated, for the documents that have any."""
-    every = written(all_ranges(texts, length, q, before))
-    shared = written(every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most")).filter("n > 1").select("anchor", (F.col("least") == F.col("most")).alias("alike")))
-    candidates = written(every.join(small_or_shuffled(shared, shared.count(), 16), "anchor"))
-    certain = candidates.filter("alike").select("doc_id", "tag", F.col("lo").alias("s"), F.col("hi").alias("e"))
-    kinds = written(
-        candidates.filter("NOT alike")
-        .groupBy("anchor", "whole")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "lo", "hi")).alias("one"))
-        .select("anchor", "whole", "n", "one.*")
-    )
-    several = kinds.filter("n > 1").select("anchor", "whole")
-    also = candidates.filter("NOT alike").join(several, ["anchor", "whole"], "left_semi").select("doc_id", "tag", F.col("lo").alias("s"), F.col("hi").alias("e"))
-    spans = certain.unionByName(also).unionByName(refined(docs, kinds, length, q))
-    return spans.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
-
-
-def repeated_runs(docs: DataFrame, length: int = LENGTH) -> list[tuple[int, DataFrame]]:
-    """String length and ``level_runs`` of each level; each goes on from the runs of the one before."""
-    out: list[tuple[int, DataFrame]] = []
-    texts, before = keyed(docs).withColumn("spans", F.lit(None).cast(SPANS)), 0
-    for size, q in levels(length):
-        runs = written(level_runs(docs, texts, size, q, before))
-        out.append((size, runs))
-        texts, before = beside_texts(docs, runs, "spans"), size
-    return out
+def repeated_runs(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """The texts that repeat anything (doc_id, text, uid, tag; in buckets), and for each level its
+    string length and runs; each level goes on from the runs of the one before."""
+    base = keyed(docs)
+    (half, q), (whole, r) = levels(length)
+    candidates = shared_ranges(base.withColumn("spans", F.lit(None).cast(SPANS)), half, q, 0)
+    touched = written(candidates.select(*KEY).distinct())
+    held = bucketed(base.join(small_or_shuffled(touched, touched.count(), 16), KEY, "left_semi"), *KEY)
+    first = repeated_in(held, candidates, half, q)
+    forget(candidates)
+    second = repeated_in(held, shared_ranges(held.join(first, KEY), whole, r, half), whole, r)
+    return held, [(half, first), (whole, second)]
 
 
 def merged(spans: list, length: int) -> list[tuple[int, int]]:
@@ -390,41 +389,46 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, tag, text, half (runs of repeated strings of half the length) and spans (of the
-    length), null where there are none, for every row."""
-    (_, half), (_, whole) = repeated_runs(docs, length)
-    both = written(half.withColumnRenamed("spans", "half").join(whole, (half["doc_id"].eqNullSafe(whole["doc_id"])) & (half["tag"] == whole["tag"]), "left").select(half["doc_id"], half["tag"], "half", "spans"))
-    return beside_texts(docs, both, "half", "left").select("doc_id", "text", "half", "spans")
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id and text without the repeated bytes (characters cut apart become U+FFFD), every row."""
+    _, (_, (_, runs)) = repeated_runs(docs, length)
 
     def setup():
         return lambda ids, texts, spans: (ids, [without(encoded(t), merged(s, length)).decode("utf-8", "replace") if s else t for t, s in zip(texts, spans)])
 
-    return arrow_map(with_spans(docs, length), ["doc_id", "text", "spans"], "doc_id long, text string", setup)
+    return arrow_map(keyed(docs).join(runs, KEY, "left"), ["doc_id", "text", "spans"], "doc_id long, text string", setup)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes removed from every document and the digest of what remains; besides, the longer of the
     two lengths judged (200 and 400 bytes) at which the document repeats anything (0 for none), and
     its bytes in repeated strings of 200."""
-    half = levels(LENGTH)[0][0]
+    docs = read(spark, sf_dir, "documents")
+    held, ((half, first), (_, second)) = repeated_runs(docs)
 
     def setup():
-        def kernel(ids, texts, halves, spans):
-            out: list[list] = [[] for _ in range(6)]
+        def kernel(uids, tags, texts, halves, spans):
+            out: list[list] = [[] for _ in range(5)]
             for text, shorter, found in zip(texts, halves, spans):
                 data, runs = encoded(text), merged(found, LENGTH)
-                short = sum(e - s for s, e in merged(shorter, half))
-                row = (len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(without(data, runs)).hexdigest(), LENGTH if runs else half if short else 0, short)
+                row = (sum(e - s for s, e in runs), len(runs), hashlib.sha256(without(data, runs)).hexdigest(), LENGTH if runs else half, sum(e - s for s, e in merged(shorter, half)))
                 for column, value in zip(out, row):
                     column.append(value)
-            return [ids, *out]
+            return [uids, tags, *out]
 
         return kernel
 
-    docs = read(spark, sf_dir, "documents")
-    return arrow_map(with_spans(docs), ["doc_id", "text", "half", "spans"], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_repeat int, n_in_repeats_200 long", setup)
+    texts = held.join(first.withColumnRenamed("spans", "half"), KEY).join(second, KEY, "left")
+    made = written(arrow_map(texts, [*KEY, "text", "half", "spans"], "uid long, tag int, n_removed long, n_spans long, sha string, longest int, in_half long", setup).dropDuplicates(KEY))
+    # Whole texts without repeats only need their digest, which needs no text to be moved.
+    every = keyed(docs).select(*KEY, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("own"))
+    zero = lambda c, kind="bigint": F.coalesce(c, F.lit(0)).cast(kind)
+    return every.join(small_or_shuffled(made, made.count(), 160), KEY, "left").select(
+        "doc_id",
+        "n_bytes",
+        zero("n_removed").alias("n_removed"),
+        zero("n_spans").alias("n_spans"),
+        F.coalesce("sha", "own").alias("kept_sha256"),
+        zero("longest", "int").alias("longest_repeat"),
+        zero("in_half").alias("n_in_repeats_200"),
+    )

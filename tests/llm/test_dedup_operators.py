@@ -146,9 +146,10 @@ def test_runs_of_both_levels(spark, length):
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     shared = text(length + 60)
     texts = [text(rng.randint(0, 3 * length)) + shared[rng.randint(0, length) : rng.randint(length // 2, len(shared))] + text(rng.randint(0, length)) for _ in range(30)]
-    for size, runs in suffix_dedup.repeated_runs(docs(spark, list(enumerate(texts))), length):
+    held, found_runs = suffix_dedup.repeated_runs(docs(spark, list(enumerate(texts))), length)
+    for size, runs in found_runs:
         count = collections.Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
-        found = {r["doc_id"]: {i for s, e in suffix_dedup.joined_runs(r["spans"]) for i in range(s, e + 1)} for r in runs.collect()}
+        found = {r["doc_id"]: {i for s, e in suffix_dedup.joined_runs(r["spans"]) for i in range(s, e + 1)} for r in runs.join(held, suffix_dedup.KEY).collect()}
         for n, t in enumerate(texts):
             assert found.get(n, set()) == {i for i in range(len(t) - size + 1) if count[t[i : i + size]] > 1}
 
