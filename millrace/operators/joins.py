@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("inner", "left", "right", "full", "left_semi", "left_anti")
@@ -92,13 +92,25 @@ def cartesian(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.crossJoin(right)
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, kind: str = "inner", salts: int = 16) -> DataFrame:
-    """Equi-join for a left side in which few keys hold many rows: the left is salted, the right
-    repeated once a salt. For inner and left joins; results equal the plain join's."""
+def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
+    """key: those that hold at least this share of the rows; there are at most ``1 / share``."""
+    counts = df.groupBy(key).agg(F.count("*").alias("__n"))
+    total = df.count()
+    return counts.filter((F.col("__n") >= share * total) & F.col(key).isNotNull()).select(key)
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, kind: str = "inner", salts: int = 16, share: float = 0.001) -> DataFrame:
+    """Equi-join for a left side in which few keys hold many rows: rows of keys that hold at least
+    ``share`` of the left's are salted, and only their rows on the right repeated once a salt. For
+    inner and left joins; results equal the plain join's."""
     if kind not in ("inner", "left"):
         raise ValueError("the repeated side may only be looked up")
-    salted = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # At most 1 / share keys, whatever the input's size.
+    hot = F.broadcast(hot_keys(left, key, share).withColumn("__hot", F.lit(True)))
+    marked = lambda df: df.join(hot, key, "left")
+    salted = marked(left).withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0).cast("int")).drop("__hot")
+    every, one = F.sequence(F.lit(0), F.lit(salts - 1)), F.array(F.lit(0))
+    spread = marked(right).withColumn("__salt", F.explode(F.when(F.col("__hot"), every).otherwise(one))).drop("__hot")
     return salted.join(spread, [key, "__salt"], kind).drop("__salt")
 
 
@@ -116,7 +128,3 @@ def union(frames: Sequence[DataFrame]) -> DataFrame:
     if not frames:
         raise ValueError("a union needs a schema: give at least one frame")
     return reduce(DataFrame.unionByName, frames)
-
-
-def position_window(order: Sequence[Column]):
-    return Window.orderBy(*order)

@@ -11,6 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Values of a key that a fold with ``combine`` gathers at once.
+CHUNK = 4096
+
 Keys = str | Column | Sequence[str | Column]
 
 #: Named reductions: the associative functions that a keyed reduction usually gets.
@@ -46,17 +49,44 @@ def combine_by_key(df: DataFrame, keys: Keys, *aggregates: Column) -> DataFrame:
     return df.groupBy(*as_columns(keys)).agg(*aggregates)
 
 
-def fold_by_key(df: DataFrame, keys: Keys, value: str | Column, zero: Column, merge: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None, order: Keys | None = None, name: str = "value") -> DataFrame:
+def fold_by_key(df: DataFrame, keys: Keys, value: str | Column, zero: Column, merge: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None, order: Keys | None = None, name: str = "value", combine: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """A custom fold, written as Column functions. Values are folded in ``order`` (a sequence
-    column) if given, so that functions which do not commute are deterministic."""
+    column) if given, so that functions which do not commute are deterministic.
+
+    ``combine`` joins two results of ``merge``, for folds that may begin anywhere with ``zero``:
+    then runs of at most ``CHUNK`` values are folded first, and no list of all of a key's values
+    is made.
+    """
     v = as_columns(value)[0]
-    if order is None:
-        values = F.collect_list(v)
+    columns = as_columns(keys)
+
+    def ordered(made: Column, *by: Column) -> Column:
+        if not by:
+            return F.collect_list(made)
+        pairs = F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(by)], made.alias("v"))))
+        return F.transform(pairs, lambda p: p["v"])
+
+    by = as_columns(order) if order is not None else []
+    if combine is None:
+        values = ordered(v, *by)
+        folded = F.aggregate(values, zero, merge, finish) if finish else F.aggregate(values, zero, merge)
+        return df.groupBy(*columns).agg(folded.alias(name))
+    names = [f"__k{i}" for i in range(len(columns))]
+    plain = df.select(*[c.alias(n) for n, c in zip(names, columns)], v.alias("__v"), *[c.alias(f"__o{i}") for i, c in enumerate(by)])
+    sequence = [F.col(f"__o{i}") for i in range(len(by))]
+    if by:
+        # Numbers in the order, so that a chunk is a run of it and chunks have an order too.
+        from millrace.operators.partitions import enumerate_rows
+
+        plain = enumerate_rows(plain, sequence, "__i")
     else:
-        pairs = F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(as_columns(order))], v.alias("v"))))
-        values = F.transform(pairs, lambda p: p["v"])
-    folded = F.aggregate(values, zero, merge, finish) if finish else F.aggregate(values, zero, merge)
-    return df.groupBy(*as_columns(keys)).agg(folded.alias(name))
+        plain = plain.withColumn("__i", F.monotonically_increasing_id())
+    chunks = plain.groupBy(*names, F.floor(F.col("__i") / CHUNK).alias("__c")).agg(F.aggregate(ordered(F.col("__v"), *([F.col("__i")] if by else [])), zero, merge).alias("__f"))
+    parts = ordered(F.col("__f"), *([F.col("__c")] if by else []))
+    total = F.aggregate(parts, zero, combine, finish) if finish else F.aggregate(parts, zero, combine)
+    made = chunks.groupBy(*names).agg(total.alias(name))
+    titles = df.select(*columns).columns
+    return made.select(*[F.col(n).alias(t) for n, t in zip(names, titles)], name)
 
 
 def group_by_key(df: DataFrame, keys: Keys, value: str | Column = "*", order: Keys | None = None, name: str = "values") -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.storage import written
+
 
 def enumerate_partition(df: DataFrame, name: str = "partition") -> DataFrame:
     """The partition's number beside each row."""
@@ -18,24 +20,25 @@ def enumerate_partition(df: DataFrame, name: str = "partition") -> DataFrame:
 def enumerate_rows(df: DataFrame, order: Sequence[Column], name: str = "idx", first: int = 0) -> DataFrame:
     """A global consecutive number by a total order.
 
-    Rows are range-partitioned and numbered within partitions in parallel; a small table of
-    partition sizes gives each partition its start. No task sees all rows.
+    Rows are range-partitioned, sorted and written with their number within the partition; a small
+    table of partition sizes gives each partition its start. One shuffle, and no task sees all
+    rows. Rows that are equal in the order are put by a hash of the whole row, so that many of them
+    spread over partitions.
     """
     spark = df.sparkSession
-    columns = list(order)
-    placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("__p", F.spark_partition_id())
+    columns = [*order, F.xxhash64(*df.columns)]
+    placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("__m", F.monotonically_increasing_id())
     # The numbering depends on where partitions begin, so the placing must not be done twice.
-    placed = placed.persist()
-    sizes = placed.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect()
+    placed = written(placed)
+    # That id is the partition's number above 33 bits of the row's number in it.
+    part = F.shiftrightunsigned("__m", 33)
+    sizes = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("n")).orderBy("__p").collect()
     starts, total = [], first
     for r in sizes:  # one row a partition
         starts.append((r["__p"], total))
         total += r["n"]
-    if not starts:
-        return placed.drop("__p").withColumn(name, F.lit(None).cast("bigint"))
-    base = F.broadcast(spark.createDataFrame(starts, "__p int, __start long"))
-    local = F.row_number().over(Window.partitionBy("__p").orderBy(*columns)) - 1
-    return placed.withColumn("__local", local).join(base, "__p").withColumn(name, (F.col("__start") + F.col("__local")).cast("bigint")).drop("__p", "__start", "__local")
+    base = F.broadcast(spark.createDataFrame(starts, "__p long, __start long"))
+    return placed.withColumn("__p", part).join(base, "__p").withColumn(name, F.col("__start") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__p", "__start", "__m")
 
 
 def batch(df: DataFrame, size: int, order: Sequence[Column], name: str = "rows") -> DataFrame:
