@@ -27,12 +27,6 @@ def merge_distinct(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
 
 
-def within(df: DataFrame, column: str, tolerance: float) -> DataFrame:
-    """ok: whether the approximate distinct count is within a share of the exact one."""
-    made = df.agg(F.approx_count_distinct(column, tolerance / 5).alias("a"), F.count_distinct(column).alias("n"))
-    return made.select((F.abs(F.col("a") - F.col("n")) <= tolerance * F.col("n")).alias("ok"))
-
-
 def _quantiles(value: str | Column, p: Sequence[float], exact: bool, accuracy: int) -> Column:
     if any(not 0 <= x <= 100 for x in p):
         raise ValueError("percentiles lie between 0 and 100")

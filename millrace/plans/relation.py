@@ -76,8 +76,7 @@ class Aggregates:
         if name == "first":
             return F.min_by(args[0], self.sequence)
         if name == "top":
-            counts = F.expr(f"approx_top_k({ast.unparse(node.args[0])}, 20, 10000)")
-            return counts
+            return F.call_function("approx_top_k", args[0], F.lit(20), F.lit(10_000))
         return {"sum": F.sum, "avg": F.avg, "count": F.count, "adcount": F.approx_count_distinct, "min": F.min, "max": F.max, "collect": F.collect_list}[name](args[0])
 
 

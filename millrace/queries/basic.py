@@ -60,22 +60,26 @@ def error_tolerant_map(spark, sf_dir):
 
 
 def glom_sizes(spark, sf_dir):
-    made = partitions.glom(table(spark, sf_dir, "orders").select("o_orderkey").repartition(4, "o_orderkey"))
-    return made.agg(F.sum(F.size("rows")).alias("n"))
+    """Each partition's rows: 0 to 399 by fives, 100 in each of four partitions dealt by range."""
+    made = partitions.glom(spark.range(0, 2000, 5, 4), "rows")
+    return made.select("partition", F.size("rows").cast("bigint").alias("n"), F.array_min(F.transform("rows", lambda r: r["id"])).alias("lo"))
 
 
 def slice_partitions(spark, sf_dir):
-    spread = table(spark, sf_dir, "orders").select("o_orderkey").repartition(4, "o_orderkey")
-    return partitions.slice_partitions(spread, 0, 2).union(partitions.slice_partitions(spread, 2, 4))
+    """The orders of two of four partitions, which hold the keys by their hash's remainder."""
+    spread = table(spark, sf_dir, "orders").select("o_orderkey").withColumn("p", F.pmod("o_orderkey", F.lit(4))).repartitionByRange(4, "p").drop("p")
+    return partitions.slice_partitions(spread, 1, 3)
 
 
 def merge_split(spark, sf_dir):
-    return partitions.merge_split(table(spark, sf_dir, "orders").select("o_orderkey").repartition(8), n=3)
+    """How many rows each of three merged partitions has; twelve held 100 rows each."""
+    merged = partitions.merge_split(spark.range(0, 1200, 1, 12), size=4)
+    return partitions.enumerate_partition(merged).groupBy("partition").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
 
 
 def enumerate_partition(spark, sf_dir):
-    made = partitions.enumerate_partition(table(spark, sf_dir, "nation").repartition(5, "n_nationkey"))
-    return made.select("n_nationkey", F.col("partition").between(0, 4).alias("known"))
+    """The partition of each number, of ten partitions of ten."""
+    return partitions.enumerate_partition(spark.range(0, 100, 1, 10)).select("id", "partition")
 
 
 def sample_bernoulli(spark, sf_dir):
@@ -97,8 +101,8 @@ def sort_rank(spark, sf_dir):
 
 
 def top_10(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "value")
-    return events.orderBy(F.col("value").desc(), "event_id").limit(10)
+    events = as_table(table(spark, sf_dir, "events").select("event_id", "value"))
+    return events.select("event_id", "value", "-event_id as earlier").top(10, "value, earlier").select("event_id", "value").df
 
 
 def bottom_10(spark, sf_dir):
@@ -142,10 +146,10 @@ SQL = {
     "batch_100": "SELECT b, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id)-1)//100 AS b FROM events) GROUP BY b",
     "zip_with": "SELECT a.event_id AS l, b.event_id AS r FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) i FROM events) a JOIN (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) i FROM events) b USING (i)",
     "error_tolerant_map": "SELECT event_id, CAST(1 AS DOUBLE)/(event_id%100) AS r FROM events WHERE event_id%100<>0",
-    "glom_sizes": "SELECT count(*) AS n FROM orders",
-    "slice_partitions": "SELECT o_orderkey FROM orders",
-    "merge_split": "SELECT o_orderkey FROM orders",
-    "enumerate_partition": "SELECT n_nationkey, TRUE AS known FROM nation",
+    "glom_sizes": "SELECT CAST(i AS INTEGER) AS partition, 100 AS n, i * 500 AS lo FROM range(4) t(i)",
+    "slice_partitions": "SELECT o_orderkey FROM orders WHERE o_orderkey % 4 IN (1, 2)",
+    "merge_split": "SELECT CAST(i AS INTEGER) AS partition, 400 AS n, i * 400 AS lo FROM range(3) t(i)",
+    "enumerate_partition": "SELECT i AS id, CAST(i // 10 AS INTEGER) AS partition FROM range(100) t(i)",
     "pipe_upper": "SELECT upper(n_name) AS line FROM nation",
     "index_by": "SELECT n_regionkey AS k, n_name AS v FROM nation",
     "sort_rank": "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM orders",
