@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.queries import aggregates, basic, formats, sql_queries, streams
+from millrace.queries import aggregates, basic, formats, more, sql_queries, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (basic, aggregates, sql_queries, formats, streams)
+FAMILIES = (basic, aggregates, sql_queries, formats, streams, more)
 
 
 def queries() -> dict[str, Query]:
