@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_map, held_out, read
+from millrace.llm.common import arrow_map, held_out, read, small_or_shuffled, written
 
 #: A text has a letter if this matches.
 LETTER = re.compile(r"[^\W\d_]")
@@ -53,10 +53,10 @@ def fit(docs: DataFrame, docs_per_lang: int = 48, **options) -> LanguageModel:
     # Uniform from 0 to 1; a part of the documents lies below each share of it.
     rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
     rows = known.select("doc_id", "lang", rank.alias("rank"))
-    shares = rows.groupBy("lang").agg(((2 * docs_per_lang + 64) / F.count("*")).alias("share"))
+    shares = written(rows.groupBy("lang").agg(((2 * docs_per_lang + 64) / F.count("*")).alias("share")))
     order = Window.partitionBy("lang").orderBy("rank", "doc_id")
     chosen = (
-        rows.join(shares, "lang")
+        rows.join(small_or_shuffled(shares, shares.count(), 64), "lang")
         .filter("rank < share")
         .withColumn("n", F.row_number().over(order))
         .filter(F.col("n") <= docs_per_lang)
