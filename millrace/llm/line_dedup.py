@@ -108,11 +108,11 @@ def kept_lines(text: Column, words: Column) -> Column:
 def with_bitmaps(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with ``__mr_words`` and ``__mr_dropped`` (null where nothing is dropped)."""
     bitmaps = written(keep_bitmaps(docs, **options))
-    n = bitmaps.count()
+    n, words = bitmaps.agg(F.count("*"), F.sum(F.size("words"))).first()
     right = bitmaps.select(F.col("doc_id").alias("__mr_id"), F.col("text_hash").alias("__mr_hash"), F.col("n_dropped").alias("__mr_dropped"), F.col("words").alias("__mr_words"))
-    # A bitmap row is an id, a hash and 16 bytes for each word of 64 lines.
+    # A bitmap row is an id, a hash and an entry for each word of 64 lines in which one goes.
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__mr_id")) & (F.xxhash64("text") == F.col("__mr_hash"))
-    return docs.join(small_or_shuffled(right, n, 96), same, "left")
+    return docs.join(small_or_shuffled(right, 1, 48 * n + 24 * (words or 0)), same, "left")
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:

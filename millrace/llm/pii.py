@@ -35,7 +35,8 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}))"
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 
-#: Words that raise a kind's score when they stand within WINDOW code points before a span.
+#: Words that raise a kind's score when they stand within WINDOW code points before a span, or less
+#: so after it.
 CONTEXT = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "host", "address", "server"),
@@ -47,7 +48,7 @@ CONTEXT = {
 }
 WINDOW = 32
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.85, "phone": 0.8, "iban": 0.9, "ssn": 0.45, "secret": 0.3}
-BOOST = 0.3
+BOOST, BOOST_AFTER = 0.3, 0.1
 CONTEXT_RE = {k: re.compile(r"(?<![a-z])(?:" + "|".join(v) + r")(?![a-z])", re.IGNORECASE) for k, v in CONTEXT.items()}
 
 
@@ -144,8 +145,8 @@ def secrets(text: str, threshold: float) -> Iterable[Span]:
 
 
 def scored(text: str, kind: str, start: int, end: int) -> Span:
-    near = text[max(0, start - WINDOW) : start]
-    return Span(kind, start, end, min(1.0, PRIOR[kind] + BOOST * bool(CONTEXT_RE[kind].search(near))))
+    before, after = (bool(CONTEXT_RE[kind].search(near)) for near in (text[max(0, start - WINDOW) : start], text[end : end + WINDOW]))
+    return Span(kind, start, end, min(1.0, PRIOR[kind] + BOOST * before + BOOST_AFTER * after))
 
 
 def spans(text: str | None, threshold: float = 0.5) -> list[Span]:
