@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.hashing import fnv1a
+
 
 class ExpressionError(ValueError):
     """The text is not an expression that can be compiled."""
@@ -40,10 +42,11 @@ SCALARS: dict[str, Callable[..., Column]] = {
     "bool": lambda x: x.cast("boolean"), "len": F.length, "round": _py_round,
     "min": F.least, "max": F.greatest, "coalesce": F.coalesce,
     "lower": F.lower, "upper": F.upper, "concat": F.concat, "hash": F.hash, "crc32": F.crc32,
+    "dict": F.map_from_arrays, "sorted": F.array_sort, "size": F.size, "fnv1a": fnv1a,
     "rmatch": lambda x, p: F.rlike(x, F.concat(F.lit("^(?:"), p, F.lit(")"))),
 }
 
-#: Methods of strings.
+#: Methods of strings, arrays and maps.
 METHODS: dict[str, Callable[..., Column]] = {
     "lower": F.lower, "upper": F.upper, "title": F.initcap,
     "strip": lambda s, chars=None: F.trim(s) if chars is None else F.btrim(s, chars),
@@ -51,6 +54,10 @@ METHODS: dict[str, Callable[..., Column]] = {
     "rstrip": lambda s, chars=None: F.rtrim(s) if chars is None else F.rtrim(s, chars),
     "startswith": F.startswith, "endswith": F.endswith,
     "replace": F.replace,
+    "keys": F.map_keys, "values": F.map_values, "items": F.map_entries,
+    "get": lambda m, k, other=None: F.try_element_at(m, k) if other is None else F.coalesce(F.try_element_at(m, k), other),
+    "index": lambda a, v: F.array_position(a, v) - 1, "count": lambda a, v: F.size(F.filter(a, lambda x: x == v)), 
+    "join": lambda sep, a: F.aggregate(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.coalesce(F.get(a, F.lit(0)), F.lit("")), lambda s, v: F.concat(s, sep, v)),
     "find": lambda s, part: F.instr(s, part) - 1,
     "split": lambda s, sep=None: F.split(F.trim(s), r"\s+") if sep is None else F.split(s, F.concat(F.lit(r"\Q"), sep, F.lit(r"\E"))),
 }

@@ -175,3 +175,9 @@ def map_value(df: DataFrame, value: str, expression: Column) -> DataFrame:
 def flat_map_value(df: DataFrame, value: str, array: Column) -> DataFrame:
     """One row for each element of an array made from the value."""
     return df.withColumn(value, F.explode(array))
+
+
+def flat_map_udtf(df: DataFrame, function, *columns: str) -> DataFrame:
+    """Each row beside the rows that a table function makes of some of its columns; the rows that
+    it makes none of go."""
+    return df.lateralJoin(function(*[F.col(c).outer() for c in columns]))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from millrace.functions import hashing
 from millrace.graph import pregel
 from millrace.operators import actions, joins, keyed, partitions, sketches
 from millrace.plans.relation import as_table
@@ -183,6 +184,26 @@ def stored_sketches(spark, sf_dir):
     return merged.join(exact, "event_type").select("event_type", F.col("e").alias("n"), (F.abs(F.col("n") - F.col("e")) <= 0.05 * F.col("e")).alias("near"))
 
 
+def fnv_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_name", hashing.fnv1a("n_name").alias("h"))
+
+
+def map_functions(spark, sf_dir):
+    made = as_table(table(spark, sf_dir, "nation")).select("n_nationkey", "dict(n_name.split(' '), sorted(n_name.split(' '))) as m")
+    return made.select("n_nationkey", "'/'.join(m.keys()) as k", "m.get('UNITED', 'none') as u", "m.keys().index('KINGDOM') as i").select("n_nationkey", "k", "u", "int(i) as i").df
+
+
+def table_function(spark, sf_dir):
+    """Words of a name with their places, from a Python table function."""
+
+    @F.udtf(returnType="at int, word string")
+    class Words:
+        def eval(self, text: str):
+            yield from enumerate(text.split(" "))
+
+    return keyed.flat_map_udtf(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), Words, "n_name").select("n_nationkey", "at", "word")
+
+
 # --- SQL ---
 
 
@@ -261,6 +282,14 @@ def stream_slice(spark, sf_dir):
     return _local(windows.window_slice(made, "2024-01-05", "2024-01-10"))
 
 
+def stream_foreach(spark, sf_dir):
+    """Each batch's events, written under its number by the caller's function."""
+    folder = _folder(spark, "each")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    state.for_each_batch(_events(spark, sf_dir).select("event_id"), write, folder).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", F.col("batch").cast("int").alias("batch"))
+
+
 def stream_static(spark, sf_dir):
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"), "n_name")
     stream = _events(spark, sf_dir).select("event_id", (F.col("user_id") % 25).alias("k"))
@@ -282,7 +311,7 @@ QUERIES = {
     "reduced_to_driver": reduced_to_driver, "counted_by_tasks": counted_by_tasks, "chosen_partitions": chosen_partitions, "kept_results": kept_results,
     "shared_lookup": shared_lookup, "shared_map": shared_map, "with_resources": with_resources, "key_partitions": key_partitions, "join_merge": join_merge,
     "table_join": _relation_join("join"), "table_inner_join": _relation_join("inner_join"), "table_right_join": _relation_join("right_outer_join"), "table_outer_join": _relation_join("outer_join"),
-    "group_by_function": group_by_function, "table_top": table_top, "salted_lists": salted_lists, "table_sort": table_sort, "concatenated": concatenated,
+    "group_by_function": group_by_function, "table_top": table_top, "salted_lists": salted_lists, "table_sort": table_sort, "concatenated": concatenated, "fnv_hashes": fnv_hashes, "map_functions": map_functions, "table_function": table_function,
     "bit_positions": bit_positions, "bitmaps": bitmaps, "stored_sketches": stored_sketches,
     "sql_right_join": _sql("SELECT s.s_suppkey AS s_suppkey, n.n_name AS n_name FROM supplier AS s RIGHT JOIN nation AS n USING (s.s_nationkey, n.n_nationkey);"),
     "sql_outer_join": _sql("SELECT s.s_suppkey AS s_suppkey, c.c_custkey AS c_custkey FROM supplier AS s OUTER JOIN customer AS c USING (s.s_suppkey, c.c_nationkey);"),
@@ -290,7 +319,7 @@ QUERIES = {
     "sql_subquery_limit": _sql("SELECT COUNT(*) AS n, MAX(q.e) AS top FROM (SELECT event_id AS e FROM events ORDER BY e LIMIT 7) AS q;"),
     "sql_show_tables": sql_show_tables, "sql_function": sql_function, "table_saved": table_saved, "selected_files": selected_files,
     "stream_files": stream_files, "stream_tail": stream_tail, "stream_window_sums": stream_window_sums, "stream_cogroup": stream_cogroup,
-    "stream_slice": stream_slice, "stream_static": stream_static, "graph_aggregate": graph_aggregate,
+    "stream_slice": stream_slice, "stream_static": stream_static, "stream_foreach": stream_foreach, "graph_aggregate": graph_aggregate,
 }
 
 _TABLE = "SELECT coalesce(s.k, n.n_nationkey) AS k, s_suppkey, n_name FROM (SELECT s_suppkey, s_nationkey + 3 AS k FROM supplier) s {} JOIN nation n ON s.k = n.n_nationkey"
@@ -316,6 +345,9 @@ SQL = {
     "salted_lists": "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1",
     "table_sort": "SELECT n_name, row_number() OVER (ORDER BY n_name DESC) - 1 AS at FROM nation",
     "concatenated": "SELECT n_nationkey, n_name || '-' || n_regionkey AS s FROM nation",
+    "fnv_hashes": "SELECT n_name, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(range(1, length(n_name) + 1), lambda i: CAST(ascii(n_name[i]) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) % 4294967296) AS h FROM nation",
+    "map_functions": "SELECT n_nationkey, replace(n_name, ' ', '/') AS k, CASE WHEN list_contains(string_split(n_name, ' '), 'UNITED') THEN list_sort(string_split(n_name, ' '))[list_position(string_split(n_name, ' '), 'UNITED')] ELSE 'none' END AS u, CAST(coalesce(list_position(string_split(n_name, ' '), 'KINGDOM'), 0) - 1 AS BIGINT) AS i FROM nation",
+    "table_function": "SELECT n_nationkey, CAST(i - 1 AS INTEGER) AS at, w[i] AS word FROM (SELECT n_nationkey, string_split(n_name, ' ') AS w, unnest(range(1, len(string_split(n_name, ' ')) + 1)) AS i FROM nation)",
     "bit_positions": "WITH a AS (SELECT DISTINCT user_id AS p FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id AS p FROM events WHERE value > 90), u AS (SELECT coalesce(a.p, b.p) AS p, a.p IS NOT NULL AS x, b.p IS NOT NULL AS y FROM a FULL JOIN b ON a.p = b.p), h AS (SELECT 'intersect' AS how, p FROM u WHERE x AND y UNION ALL SELECT 'union', p FROM u UNION ALL SELECT 'xor', p FROM u WHERE x <> y UNION ALL SELECT 'except', p FROM u WHERE x AND NOT y) SELECT how, count(*) AS n, CAST(sum(p) AS BIGINT) AS s FROM h GROUP BY 1",
     "bitmaps": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
     "stored_sketches": "SELECT event_type, count(DISTINCT user_id) AS n, TRUE AS near FROM events GROUP BY 1",
@@ -331,6 +363,7 @@ SQL = {
     "stream_window_sums": "SELECT CAST(n_regionkey AS BIGINT) AS k, CAST(sum(CASE WHEN n_regionkey > 0 THEN n_nationkey ELSE 0 END) AS BIGINT) AS v FROM nation WHERE n_regionkey < 3 GROUP BY 1",
     "stream_cogroup": "SELECT time_bucket(INTERVAL '1 day', ts) AS w, user_id, coalesce(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (WHERE event_type = 'click'), '') AS c, count(*) FILTER (WHERE event_type = 'view') AS v FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2",
     "stream_slice": "SELECT time_bucket(INTERVAL '1 day', ts) AS w, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-06' AND ts < TIMESTAMP '2024-01-11' GROUP BY 1",
+    "stream_foreach": "SELECT event_id, 0 AS batch FROM events",
     "stream_static": "SELECT event_id, n_name FROM events JOIN nation ON user_id % 25 = n_nationkey",
     # The sum is 25 at first and grows by 25 a step; all send until they have seen 100.
     "graph_aggregate": "SELECT CAST(n_nationkey AS BIGINT) AS id, 1 + 4 * (SELECT count(*) FROM nation b WHERE b.n_regionkey = a.n_nationkey) AS x FROM nation a",

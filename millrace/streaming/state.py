@@ -98,6 +98,12 @@ def reduce_by_key_and_window(stream: DataFrame, key: str, value: str, batches: i
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint")
 
 
+def for_each_batch(stream: DataFrame, function: Callable[[DataFrame, int], None], folder: str):
+    """A started-to-be writer that gives each micro-batch and its number to ``function``. A batch
+    that is replayed after a failure comes with the same number."""
+    return stream.writeStream.foreachBatch(function).option("checkpointLocation", f"{folder}/checkpoint")
+
+
 def to_end(frame: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Run a stream over all data that is there and return its result as a table.
 
