@@ -400,9 +400,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes removed from every document and the digest of what remains; besides, the longer of the
-    two lengths judged (200 and 400 bytes) at which the document repeats anything (0 for none), and
-    its bytes in repeated strings of 200."""
+    """Bytes removed from every document and the digest of what remains; besides, its bytes in
+    repeated strings of 200 bytes, and the longest run of such bytes (0 for none), which for a
+    passage that is repeated as a whole is the passage's length."""
     docs = read(spark, sf_dir, "documents")
     held, ((half, first), (_, second)) = repeated_runs(docs)
 
@@ -411,7 +411,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             out: list[list] = [[] for _ in range(5)]
             for text, shorter, found in zip(texts, halves, spans):
                 data, runs = encoded(text), merged(found, LENGTH)
-                row = (sum(e - s for s, e in runs), len(runs), hashlib.sha256(without(data, runs)).hexdigest(), LENGTH if runs else half, sum(e - s for s, e in merged(shorter, half)))
+                short = [e - s for s, e in merged(shorter, half)]
+                row = (sum(e - s for s, e in runs), len(runs), hashlib.sha256(without(data, runs)).hexdigest(), max(short), sum(short))
                 for column, value in zip(out, row):
                     column.append(value)
             return [uids, tags, *out]
