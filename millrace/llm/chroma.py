@@ -36,11 +36,11 @@ FRAME, HOP = 512, 160
 #: Frames that the widest filter spans.
 SPAN = 16
 #: Recordings that a task holds, and queries that it works on at once.
-PART, QUERIES = 2048, 256
+PART, QUERIES = 2048, 1024
 #: Codes that an alignment covers at least (or all of the shorter recording).
 MIN_OVERLAP = 2 * SPAN
-#: Values of spectra or of correlations held at a time.
-AT_ONCE = 1 << 22
+#: Values of spectra held at a time, and of histograms (about what a cache takes).
+AT_ONCE, HISTOGRAMS = 1 << 22, 1 << 21
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -152,9 +152,17 @@ def spectra(prints: list[np.ndarray], length: int) -> np.ndarray:
     return np.fft.rfft(signs, axis=0)
 
 
-def doubled(n: int) -> int:
-    """The least power of two that holds all offsets of two recordings of up to n codes."""
-    return 2 << max(0, n - 1).bit_length()
+def rounded_up(n: int) -> int:
+    """The least even number from ``n`` on that has no other prime factors than 2, 3 and 5."""
+    n += n % 2
+    while True:
+        rest = n
+        for p in (2, 3, 5):
+            while rest % p == 0:
+                rest //= p
+        if rest == 1:
+            return n
+        n += 2
 
 
 class Align:
@@ -174,18 +182,24 @@ class Align:
         cases: dict[int, list[list[int]]] = {}
         for side, prints in enumerate((self.prints, others)):
             for i, p in enumerate(prints):
-                cases.setdefault(doubled(len(p)), [[], []])[side].append(i)
-        for a, (queries, _) in cases.items():
-            for b, (_, recs) in cases.items():
-                length = max(a, b)
+                cases.setdefault(len(p).bit_length(), [[], []])[side].append(i)
+        sizes = np.array([len(p) for p in others])
+        for queries, _ in cases.values():
+            for _, recs in cases.values():
+                if not queries or not recs:
+                    continue
+                # Offsets that cover too little may run into each other; all others do not.
+                asked_sizes, rec_sizes = self.lengths[queries], sizes[recs]
+                least = min(MIN_OVERLAP, int(asked_sizes.min()), int(rec_sizes.min()))
+                length = rounded_up(int(asked_sizes.max() + rec_sizes.max()) - least)
                 most = max(1, AT_ONCE // (16 * length))
-                for q in range(0, len(queries) if recs else 0, most):
+                for q in range(0, len(queries), most):
                     asked = queries[q : q + most]
                     there = self.transformed(asked, length)
-                    some = max(1, AT_ONCE // (length * len(asked)))
+                    some = max(1, HISTOGRAMS // (length * len(asked)))
                     for r in range(0, len(recs), some):
                         part = recs[r : r + some]
-                        self.judge(np.array(asked), there, [rec_ids[i] for i in part], [others[i] for i in part], length)
+                        self.judge(np.array(asked), there, np.array([rec_ids[i] for i in part]), [others[i] for i in part], length)
 
     def transformed(self, asked: list[int], length: int) -> np.ndarray:
         """Transforms of some queries; the last ones are kept for the next recordings."""
@@ -194,28 +208,33 @@ class Align:
             self.kept = {key: np.conj(spectra([self.prints[i] for i in asked], length)).transpose(0, 2, 1).copy()}
         return self.kept[key]
 
-    def judge(self, asked: np.ndarray, there: np.ndarray, rec_ids: list[int], others: list[np.ndarray], length: int) -> None:
-        # Same less differing bits by offset (negative ones last), recording and query.
+    def judge(self, asked: np.ndarray, there: np.ndarray, rec_ids: np.ndarray, others: list[np.ndarray], length: int) -> None:
+        # Votes for less votes against each offset (negative ones last), by recording and query.
         agree = np.fft.irfft(np.matmul(spectra(others, length), there), length, axis=0)
-        np.rint(agree, out=agree)
-        offset = np.fft.fftfreq(length, 1 / length).astype(np.int64)
         size, own = np.unique(self.lengths[asked]), np.unique([len(p) for p in others])
         if len(size) > 1 or len(own) > 1:
             size, own = self.lengths[asked], np.array([len(p) for p in others])
         low = np.minimum(size[None, :], own[:, None])
+        # The last offsets are the negative ones that any of the queries can have.
+        offset = np.arange(length)
+        offset[length - int(size.max()) + min(MIN_OVERLAP, int(low.min())) :] -= length
         covered = np.minimum(size[None, None, :], own[None, :, None] - offset[:, None, None]) - np.maximum(0, -offset)[:, None, None]
         enough = covered >= np.minimum(MIN_OVERLAP, low)
         agree *= np.where(enough, 1 / (64.0 * np.maximum(covered, 1)), 0).astype(np.float32)
-        agree += np.where(enough, 0, -1).astype(np.float32)
+        if enough.shape[1:] == (1, 1):
+            agree[~enough[:, 0, 0]] = -1
+        else:
+            agree += np.where(enough, 0, -1).astype(np.float32)
         top = agree.max(0)
-        top[np.array(rec_ids)[:, None] == self.ids[asked][None, :]] = -1
+        top[rec_ids[:, None] == self.ids[asked][None, :]] = -1
         # What may be best within rounding is judged by exact counts.
-        for r, k in zip(*(x.tolist() for x in np.nonzero((top >= 0.5 - self.least[asked] - 1e-5) & (top > -0.75)))):
+        limit = np.maximum(0.5 - self.least[asked] - 1e-5, top.max(0) - 2e-5)
+        for r, k in zip(*(x.tolist() for x in np.nonzero((top >= limit) & (top > -0.75)))):
             q = int(asked[k])
             a, b = others[r], self.prints[q]
             for shift in offset[agree[:, r, k] >= top[r, k] - 1e-5].tolist():
                 lo, hi = max(0, -shift), min(len(b), len(a) - shift)
-                found = (bit_error(a, b, shift), rec_ids[r], shift, int((a[lo + shift : hi + shift] == b[lo:hi]).sum()))
+                found = (bit_error(a, b, shift), int(rec_ids[r]), shift, int((a[lo + shift : hi + shift] == b[lo:hi]).sum()))
                 if q not in self.best or found < self.best[q]:
                     self.best[q], self.least[q] = found, found[0]
 
