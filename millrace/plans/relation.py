@@ -81,7 +81,11 @@ class Aggregates:
 
 
 class Relation:
-    """A named DataFrame with string expressions."""
+    """A named DataFrame with string expressions.
+
+    ``sequence`` names the column that gives rows their order, for ``first``, ``last`` and
+    ``group_concat``. Without ``sequence`` that is the order in which rows happen to be read.
+    """
 
     def __init__(self, df: DataFrame, name: str = "", sequence: str | None = None, collect_bare: bool = False):
         self.df, self.name, self.sequence, self.collect_bare = df, name, sequence, collect_bare
