@@ -42,6 +42,12 @@ def gzip_roundtrip(spark, sf_dir):
     return _parted(files.read_gzip_tolerant(spark, path))
 
 
+def gzip_blocks_roundtrip(spark, sf_dir):
+    path = _folder(spark, "gzblocks")
+    binary.write_limited(_joined(_pairs(spark, sf_dir)), "gzblocks", path, block=20_000)
+    return _parted(spark.read.format("gzblocks").option("split", 10_000).load(path))
+
+
 def bz2_roundtrip(spark, sf_dir):
     path = _folder(spark, "bz2")
     _joined(_pairs(spark, sf_dir)).write.option("compression", "bzip2").text(path)
@@ -127,7 +133,7 @@ def sql_outfile(spark, sf_dir):
 
 
 QUERIES = {
-    "text_roundtrip": text_roundtrip, "gzip_roundtrip": gzip_roundtrip, "bz2_roundtrip": bz2_roundtrip, "csv_roundtrip": csv_roundtrip,
+    "text_roundtrip": text_roundtrip, "gzip_roundtrip": gzip_roundtrip, "gzip_blocks_roundtrip": gzip_blocks_roundtrip, "bz2_roundtrip": bz2_roundtrip, "csv_roundtrip": csv_roundtrip,
     "from_csv_column": from_csv_column, "parquet_roundtrip": parquet_roundtrip, "binary_roundtrip": binary_roundtrip, "tfrecord_roundtrip": tfrecord_roundtrip,
     "text_by_key": text_by_key, "partial_text": partial_text, "filter_by_index": filter_by_index, "kvlog_latest": kvlog_latest,
     "sql_create_table": sql_create_table, "sql_outfile": sql_outfile,
@@ -135,7 +141,7 @@ QUERIES = {
 
 _PAIRS = "SELECT event_id, event_type FROM events"
 SQL = {
-    **dict.fromkeys(("text_roundtrip", "gzip_roundtrip", "bz2_roundtrip", "csv_roundtrip", "from_csv_column", "parquet_roundtrip", "tfrecord_roundtrip", "partial_text", "sql_create_table", "sql_outfile"), _PAIRS),
+    **dict.fromkeys(("text_roundtrip", "gzip_roundtrip", "gzip_blocks_roundtrip", "bz2_roundtrip", "csv_roundtrip", "from_csv_column", "parquet_roundtrip", "tfrecord_roundtrip", "partial_text", "sql_create_table", "sql_outfile"), _PAIRS),
     "binary_roundtrip": "SELECT event_id, value FROM events",
     "text_by_key": "SELECT event_type AS k, count(*) AS n FROM events GROUP BY 1",
     "filter_by_index": "SELECT event_id, user_id FROM events WHERE user_id IN (1,2,3) AND event_type='click'",

@@ -1,5 +1,5 @@
 """Python data sources for byte-oriented formats: fixed-length records, TFRecord, byte ranges of
-text, and key-value logs. Each splits files into byte ranges, so large files are read in parallel.
+text, gzip text in blocks, and key-value logs. Each splits files into byte ranges, so large files are read in parallel.
 
 Register with ``register_all(spark)``; then for example
 ``spark.read.format("fixedbin").option("fmt", "I").load(path)``. Paths are local ones that all
@@ -9,6 +9,7 @@ executors mount, or URIs of a file system that ``millrace.sources.vfs`` opens.
 from __future__ import annotations
 
 import binascii
+import gzip
 import json
 import pickle
 import struct
@@ -348,6 +349,151 @@ def lines_of(path: str, begin: int, end: int) -> Iterator[str]:
             yield line.rstrip(b"\r\n").decode("utf-8", "replace")
 
 
+# --- gzip text in blocks ---
+
+# How a gzip member begins (magic bytes and the deflate method).
+MEMBER = b"\x1f\x8b\x08"
+
+
+class GzipBlocks(DataSource):
+    """Lines of gzip files that are made of many members, read in parallel from any member on.
+    Options: path, ext (default ``.gz``), split, and for writing block (bytes of text a member,
+    default 1 MB). A file of one member is read by one task. A damaged member ends its file's range
+    unless ``skip_damaged`` is true; then reading goes on with the next member."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "gzblocks"
+
+    def schema(self) -> str:
+        return "value string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return GzipBlocksReader(dict(self.options))
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return GzipBlocksWriter(dict(self.options), overwrite)
+
+
+class GzipBlocksReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = options
+        self.skip = options.get("skip_damaged", "false").lower() == "true"
+
+    def partitions(self):
+        return byte_ranges(listed(self.options["path"], self.options.get("ext", ".gz")), int(self.options.get("split", SPLIT)))
+
+    @staticmethod
+    def begins_member(f, at: int) -> bool:
+        f.seek(at)
+        head = f.read(1 << 16)
+        if not head.startswith(MEMBER) or len(head) < 18 or head[3] & 0xE0:
+            return False
+        try:
+            zlib.decompressobj(31).decompress(head, 1 << 12)
+        except zlib.error:
+            return False
+        return True
+
+    @classmethod
+    def next_member(cls, f, at: int) -> int | None:
+        """Place of the first member from ``at`` on."""
+        step = 1 << 20
+        while True:
+            f.seek(at)
+            data = f.read(step + 2)
+            found = data.find(MEMBER)
+            while 0 <= found < step:
+                if cls.begins_member(f, at + found):
+                    return at + found
+                found = data.find(MEMBER, found + 1)
+            if len(data) < step + 2:
+                return None
+            at += step
+
+    @staticmethod
+    def member(f, at: int) -> tuple[bytes, int]:
+        """A member's text and the place after it."""
+        machine, out, place = zlib.decompressobj(31), [], at
+        f.seek(at)
+        while not machine.eof:
+            data = f.read(1 << 16)
+            if not data:
+                raise zlib.error("the file ends within a member")
+            out.append(machine.decompress(data))
+            place += len(data) - len(machine.unused_data)
+        return b"".join(out), place
+
+    @staticmethod
+    def data_at(f, at: int) -> bool:
+        """Whether something else than padding follows."""
+        f.seek(at)
+        return bool(f.read(64).strip(b"\0"))
+
+    def read(self, partition: Range):
+        with vfs.open(partition.path) as f:
+            at = self.next_member(f, partition.begin)
+            if at is None or at >= partition.end:
+                return
+            # A line that goes on from the member before belongs to the range before; so every
+            # range but the first leaves what comes before its first line end, and reads on through
+            # the first line end after its own members.
+            skipping, rest = at > 0, b""
+            while at is not None:
+                beyond = at >= partition.end
+                try:
+                    text, after = self.member(f, at)
+                except zlib.error:
+                    if not self.skip:
+                        raise
+                    at, rest = self.next_member(f, at + 1), b""
+                    continue
+                at = self.next_member(f, after)
+                damaged = at != after and self.data_at(f, after)
+                if damaged and not self.skip:
+                    raise zlib.error(f"{partition.path} is damaged at {after}")
+                if skipping:
+                    first = text.find(b"\n")
+                    if first < 0:
+                        if beyond:
+                            return
+                        continue
+                    text, skipping = text[first + 1 :], False
+                    if beyond:
+                        return
+                *lines, rest = (rest + text).split(b"\n")
+                if beyond and lines:
+                    yield (lines[0].decode("utf-8", "replace"),)
+                    return
+                yield from ((line.decode("utf-8", "replace"),) for line in lines)
+                rest = b"" if damaged else rest
+            if rest and not skipping:
+                yield (rest.decode("utf-8", "replace"),)
+
+
+class GzipBlocksWriter(FileWriter):
+    def __init__(self, options: dict, overwrite: bool):
+        super().__init__(options, overwrite, ".gz")
+        self.block = int(options.get("block", 1 << 20))
+
+    def write(self, iterator: Iterator) -> Done:
+        def members():
+            held, size = [], 0
+            for row in iterator:
+                held.append(str("" if row[0] is None else row[0]).encode() + b"\n")
+                size += len(held[-1])
+                if size >= self.block:
+                    yield (gzip.compress(b"".join(held), 6, mtime=0),)
+                    held, size = [], 0
+            if held:
+                yield (gzip.compress(b"".join(held), 6, mtime=0),)
+
+        return super().write(members())
+
+    def encode(self, row) -> bytes:
+        return row[0]
+
+
 # --- key-value log ---
 
 # The record layout and its flags.
@@ -574,7 +720,7 @@ def only_latest(log: DataFrame) -> DataFrame:
 def register_all(spark: SparkSession) -> None:
     """Make the formats known to a session, and let them apply filters themselves."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (FixedBinary, TFRecord, ByteRangeText, KVLog):
+    for source in (FixedBinary, TFRecord, ByteRangeText, GzipBlocks, KVLog):
         spark.dataSource.register(source)
 
 

@@ -1,7 +1,9 @@
 """Shared values, kept results, file systems, numbering, salted joins and chunked folds."""
 
 import collections
+import gzip
 import io
+import zlib
 
 import pytest
 from conftest import rows
@@ -146,6 +148,31 @@ def test_records_of_a_registered_scheme(remote):
         assert [v for p in reader.partitions() for (v,) in reader.read(p)] == [f"record {i}" for i in range(50)]
 
 
+@pytest.mark.parametrize("split", [1, 7, 50, 200, 1 << 20])
+@pytest.mark.parametrize("piece", [5, 33, 1000])
+def test_gzip_members_in_every_split(tmp_path, piece, split):
+    """Lines across members, members without a line end, and a last line without one."""
+    lines = [f"line {i} " + "x" * (i % 17) for i in range(60)] + ["y" * 90, "", "last"]
+    data = "\n".join(lines).encode()
+    (tmp_path / "a.gz").write_bytes(b"".join(gzip.compress(data[i : i + piece]) for i in range(0, len(data), piece)))
+    reader = binary.GzipBlocksReader({"path": str(tmp_path), "split": str(split)})
+    assert [v for p in reader.partitions() for (v,) in reader.read(p)] == lines
+
+
+def test_damaged_gzip_members(tmp_path):
+    members = [gzip.compress(f"{i}\n".encode() * 50) for i in range(4)]
+    members[1] = members[1][:12] + b"\xff\xff\xff" + members[1][15:]
+    (tmp_path / "a.gz").write_bytes(b"".join(members))
+
+    def found(**options):
+        reader = binary.GzipBlocksReader({"path": str(tmp_path), **options})
+        return {v for p in reader.partitions() for (v,) in reader.read(p)}
+
+    assert found(skip_damaged="true") == {"0", "2", "3"}
+    with pytest.raises(zlib.error):
+        found()
+
+
 @pytest.mark.parametrize("n", [0, 1, 9, 255, 256, 257, 1000])
 def test_checksums_by_blocks(n):
     def plain(data):
