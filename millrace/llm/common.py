@@ -21,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_ROWS = 256
 
 #: Rows of an Arrow batch.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 
 #: Largest estimated size of a side that is sent to every executor; larger sides are shuffled.
 BROADCAST_BYTES = 32 << 20

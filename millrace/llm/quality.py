@@ -64,10 +64,10 @@ def shape(word: str) -> str:
 
 
 class Shapes(dict):
-    """Shapes by word; emptied when full, so memory stays bounded."""
+    """Shapes by word; emptied when full, so memory stays bounded (to about 8 MB)."""
 
     def __missing__(self, word: str) -> str:
-        if len(self) > 200_000:
+        if len(self) > 40_000:
             self.clear()
         found = self[word] = shape(word)
         return found
