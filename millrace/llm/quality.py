@@ -38,6 +38,8 @@ class QualityModel:
     slope: float = 1.0
     shift: float = 0.0
     constant: float | None = None
+    #: The words among the indicators; a pair is one only if both its words are.
+    words: frozenset[str] = frozenset()
 
 
 def shape(word: str) -> str:
@@ -78,8 +80,8 @@ def band(share: float) -> int:
     return min(6, math.ceil(-math.log2(share)))
 
 
-def features(text: str | None, shapes: Shapes) -> set[str]:
-    """Indicators of a whole text."""
+def features(text: str | None, shapes: Shapes, known: frozenset[str] | None = None) -> set[str]:
+    """Indicators of a whole text; with ``known``, of words and pairs only those of known words."""
     words = text.split() if text else []
     if not words:
         return {"empty"}
@@ -96,8 +98,13 @@ def features(text: str | None, shapes: Shapes) -> set[str]:
     for a, b in set(zip(seq, seq[1:])):
         out.add(f"2:{a} {b}")
     plain = text.lower().split()
-    out.update(plain)
-    out.update(map("{} {}".format, plain, plain[1:]))
+    if known is None:
+        out.update(plain)
+        out.update(map("{} {}".format, plain, plain[1:]))
+    else:
+        kept = [w if w in known else "" for w in plain]
+        out.update(kept)
+        out.update([f"{a} {b}" for a, b in zip(kept, kept[1:]) if a and b])
     doubled = sum(again)
     tripled = sum(map(operator.and_, again[1:], again))
     out.add(f"r2:{band(doubled / n) if doubled else 7}")
@@ -184,7 +191,7 @@ def fit_rows(names: list[str], rows: list[np.ndarray], labels: list[int], cost:
             margins[i] = margin(w, i)
     slope, shift = logistic_fit(margins, y)
     w = train(np.ones(len(y), dtype=bool))
-    return QualityModel({f: float(x) for f, x in zip(names, w) if x}, float(w[-1]), slope, shift)
+    return QualityModel({f: float(x) for f, x in zip(names, w) if x}, float(w[-1]), slope, shift, None, frozenset(f for f in names if " " not in f))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, min_docs: int = 3, **options) -> QualityModel:
@@ -226,7 +233,7 @@ def scorer(model: QualityModel):
     def score(text: str | None) -> float:
         if model.constant is not None:
             return model.constant
-        known = [w for f in features(text, shapes) if (w := get(f)) is not None]
+        known = [w for f in features(text, shapes, model.words) if (w := get(f)) is not None]
         margin = (sum(sorted(known)) + model.bias) / math.sqrt(len(known) + 1)
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, model.slope * margin + model.shift))))
 
