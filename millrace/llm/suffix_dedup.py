@@ -282,8 +282,10 @@ def refined(held: DataFrame, kinds: DataFrame, length: int, q: int) -> DataFrame
 
     ``kinds``: anchor, whole, n (ranges of that kind), uid, tag, lo, hi of one of them.
     """
-    crowded = kinds.groupBy("anchor").agg((F.count("*") > GROUP).alias("crowded"))
-    listed = kinds.join(crowded, "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "n", "crowded", "lo", "hi")).alias("found"))
+    # Few, since each has more than GROUP kinds.
+    crowded = written(kinds.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > GROUP).select("anchor", F.lit(True).alias("many")))
+    marked = kinds.join(small_or_shuffled(crowded, crowded.count(), 16), "anchor", "left").withColumn("crowded", F.coalesce("many", F.lit(False)))
+    listed = marked.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "n", "crowded", "lo", "hi")).alias("found"))
     # Equal rows would come twice; then n > 1 for all their ranges, and nothing hangs on the count.
     texts = held.join(listed, KEY)
     few, many = (texts.withColumn("found", F.expr(f"filter(found, x -> x.crowded = {c})")).filter(F.size("found") > 0) for c in ("false", "true"))
