@@ -66,9 +66,8 @@ def glom_sizes(spark, sf_dir):
 
 
 def slice_partitions(spark, sf_dir):
-    """The orders of two of four partitions, which hold the keys by their hash's remainder."""
-    spread = table(spark, sf_dir, "orders").select("o_orderkey").withColumn("p", F.pmod("o_orderkey", F.lit(4))).repartitionByRange(4, "p").drop("p")
-    return partitions.slice_partitions(spread, 1, 3)
+    """The rows of the second and third of four partitions, which hold 1000 numbers each."""
+    return partitions.slice_partitions(spark.range(0, 4000, 1, 4), 1, 3)
 
 
 def merge_split(spark, sf_dir):
@@ -147,7 +146,7 @@ SQL = {
     "zip_with": "SELECT a.event_id AS l, b.event_id AS r FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) i FROM events) a JOIN (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) i FROM events) b USING (i)",
     "error_tolerant_map": "SELECT event_id, CAST(1 AS DOUBLE)/(event_id%100) AS r FROM events WHERE event_id%100<>0",
     "glom_sizes": "SELECT CAST(i AS INTEGER) AS partition, 100 AS n, i * 500 AS lo FROM range(4) t(i)",
-    "slice_partitions": "SELECT o_orderkey FROM orders WHERE o_orderkey % 4 IN (1, 2)",
+    "slice_partitions": "SELECT i AS id FROM range(1000, 3000) t(i)",
     "merge_split": "SELECT CAST(i AS INTEGER) AS partition, 400 AS n, i * 400 AS lo FROM range(3) t(i)",
     "enumerate_partition": "SELECT i AS id, CAST(i // 10 AS INTEGER) AS partition FROM range(100) t(i)",
     "pipe_upper": "SELECT upper(n_name) AS line FROM nation",
