@@ -36,7 +36,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, 0.8 or more."""
+    """One document of each group of near-duplicates: candidates by SimHash fingerprints, verified
+    on five-word shingles, 0.8 or more."""
     return near_dup.drop_near_duplicates(docs)
 
 
