@@ -29,6 +29,8 @@ from millrace.sources.files import expand
 from millrace.sources.vfs import local
 
 SPLIT = 64 << 20
+#: Ranges of less than ``SPLIT`` bytes are made longer until there are about this many.
+MOST_RANGES = 256
 
 
 @dataclass
@@ -47,10 +49,18 @@ def listed(path: str, ext: str = "") -> list[str]:
     return expand(vfs.glob(path), ext)
 
 
+def range_bytes(total: int, split: int, unit: int = 1) -> int:
+    """Bytes of a range, a multiple of ``unit``: about ``split``, but more if ``total`` bytes would give
+    more than ``MOST_RANGES`` ranges of less than ``SPLIT`` bytes, as each costs a task."""
+    wanted = max(unit, split // unit * unit)
+    return max(wanted, -(-min(SPLIT, -(-total // MOST_RANGES)) // unit) * unit)
+
+
 def byte_ranges(files: Sequence[str], split: int, unit: int = 1) -> list[Range]:
-    """Ranges of about ``split`` bytes, aligned to ``unit``."""
-    step = max(unit, split // unit * unit)
-    return [Range(p, b, min(b + step, n)) for p in files for n in (vfs.getsize(p),) for b in range(0, n, step)]
+    """Ranges of about ``split`` bytes or more (``range_bytes``), aligned to ``unit``."""
+    sizes = [vfs.getsize(p) for p in files]
+    step = range_bytes(sum(sizes), split, unit)
+    return [Range(p, b, min(b + step, n)) for p, n in zip(files, sizes) for b in range(0, n, step)]
 
 
 @dataclass
@@ -329,7 +339,8 @@ class ByteRangeReader(DataSourceReader):
         self.split = int(options.get("split", SPLIT))
 
     def partitions(self):
-        return [Range(self.path, b, min(b + self.split, self.end)) for b in range(self.begin, self.end, self.split)]
+        step = range_bytes(self.end - self.begin, self.split)
+        return [Range(self.path, b, min(b + step, self.end)) for b in range(self.begin, self.end, step)]
 
     def read(self, partition: Range):
         yield from ((line,) for line in lines_of(partition.path, partition.begin, partition.end))
