@@ -49,8 +49,15 @@ def quantile_sketch(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
 
 
 def bitmap(df: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
-    """keys, bucket, bits: positions as bitmaps of 32768 bits."""
-    return df.groupBy(*keys, F.bitmap_bucket_number(position).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bits"))
+    """keys, bucket, bits: positions as bitmaps of 32768 bits.
+
+    Distinct positions are shuffled and sorted, not bitmaps: by the first key and bucket, then by the
+    other keys. So bitmaps are made one after the other, and a union over the first keys, in their
+    order, takes them as they come."""
+    first, rest = list(keys[:1]), list(keys[1:])
+    marks = df.select(*keys, F.bitmap_bucket_number(position).alias("bucket"), F.bitmap_bit_position(position).alias("__bit")).distinct()
+    ranked = marks.repartition(*first, "bucket").groupBy(*first, "bucket", *rest)
+    return ranked.agg(F.bitmap_construct_agg("__bit").alias("bits")).select(*keys, "bucket", "bits")
 
 
 def bitmap_union(bitmaps: DataFrame, keys: Sequence[str]) -> DataFrame:
